@@ -1,8 +1,8 @@
 """The queries of this package."""
 
-from talus.llm import op9
+from talus.llm import op9, op10
 
-MODULES = (op9,)
+MODULES = (op9, op10)
 
 
 def queries() -> dict:
