@@ -1,8 +1,8 @@
 """The queries of this package."""
 
-from talus.llm import op9, op10
+from talus.llm import op5, op9, op10
 
-MODULES = (op9, op10)
+MODULES = (op5, op9, op10)
 
 
 def queries() -> dict:
