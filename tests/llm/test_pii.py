@@ -1,0 +1,67 @@
+import hashlib
+import random
+import re
+
+from talus.llm import op1
+from talus.llm.pii import find_pii
+
+KINDS = ("email", "ip", "card", "phone")
+RX = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def fine(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in m.split("."))
+    if kind == "card":
+        return 12 <= len(d) <= 19 and luhn(d)
+    return kind == "email" or 9 <= len(d) <= 15
+
+
+def brute(text):
+    out = [(m.start(), i, m.end(), k) for i, k in enumerate(KINDS) for m in re.finditer(RX[k], text or "") if fine(k, m[0])]
+    return sorted(out)
+
+
+def corpus(seed):
+    r = random.Random(seed)
+    bits = ["a.b@c.de", "x@y", "a@b.c_d@e.f", "é😀 ", "1.2.3.4.5.6.7.8", "300.1.1.1", "001.02.3.4", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (017) 555-0123", "+12", "+1+2 333 444 555 66", "5" * 40, " word ", ", ", "the.52@mail0.example.com", "\n", "%", "1 2 3", "v4.0.", "@", "a" * 50]
+    return [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 14)))) for i in range(150)]
+
+
+def test_base_spans_equal_brute_force(spark):
+    rows = corpus(5) + [(1000, None), (1001, ""), (1002, "a." * 30000 + "@x.y"), (1003, "7" * 50000), (1004, "u@" + "a." * 20000 + "z"), (None, "me@x.yz")]
+    rows += [(3, "other 10.0.0.1"), (3, "other 10.0.0.1")]
+    frame = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, spans string").repartition(3)
+    got = sorted(((r.doc_id, [(s.start, s["rank"] - 1, s.end, s.kind) for s in r.base]) for r in find_pii(frame).collect()), key=repr)
+    assert got == sorted(((d, brute(t)) for d, t in rows), key=repr)
+
+
+def test_contexts_add_unseen_identifiers(spark):
+    rows = [(i, f"some prose here then contact mail: user{i}@host{i}.org and more prose of kind {i % 4}") for i in range(20)]
+    rows += [(100, "again contact mail: bob7(at)host.org is here"), (101, "of kind bob8(at)host.org is not")]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == [("email", 20, 36)] and got[101] == []
+    assert all(len(got[i]) == 1 for i in range(20))
+
+
+def test_query_digest(spark, tmp_path):
+    spark.createDataFrame([(1, "a@b.cd +1 (017) 555-0123"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    one, two = op1.op1_bootstrapped_pii(spark, str(tmp_path)).orderBy("doc_id").collect()
+    joined = "email:0:6,phone:7:24"
+    assert (one.n_email, one.n_ip, one.n_card, one.n_phone, one.spans) == (1, 0, 0, 1, joined)
+    assert one.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+    assert two.base_sha256 == hashlib.sha256(b"").hexdigest() and two.spans == ""
+
+
+def test_empty_table(spark):
+    assert find_pii(spark.createDataFrame([], "doc_id long, text string")).collect() == []
