@@ -40,3 +40,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = after
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of ``labels`` (id, component) and further ``links`` (u, v).
+
+    Only the links between components are contracted, so each call works on what is new.
+    """
+    if labels is None:
+        return cut(connected_components(links))
+    of_u = labels.select(F.col("id").alias("u"), F.col("component").alias("cu"))
+    of_v = labels.select(F.col("id").alias("v"), F.col("component").alias("cv"))
+    links = links.join(of_u, "u", "left").join(of_v, "v", "left")
+    links = cut(links.select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")))
+    joined = cut(connected_components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v"))))
+    fresh = links.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(labels, "id", "left_anti")
+    every = labels.union(fresh.select("id", F.col("id").alias("component")))
+    renamed = joined.select(F.col("id").alias("component"), F.col("component").alias("now"))
+    return cut(every.join(renamed, "component", "left").select("id", F.coalesce("now", "component").alias("component")))

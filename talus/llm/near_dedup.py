@@ -1,8 +1,11 @@
 """MinHash near-duplicate groups with sequential Bayesian verification.
 
 Documents with equal shingle sets form one class, so copies are never paired. Class signatures are
-banded; in every band bucket all classes are compared with the bucket's smallest one, and buckets
-that still hold several components are worked off by further smallest members until none is left.
+banded; in every band bucket all classes are compared with the bucket's smallest one. The classes of
+buckets that then still hold several components are bucketed anew by the rarest items of their sets:
+two sets of the wanted similarity share one of the first n - ceil(0.8 n) + 1 in order of rarity, so
+large groups of copies below the threshold are not paired off. Buckets are worked off by further
+smallest members until each holds a single component.
 Each candidate pair is compared by batches of its signatures, dropped once the posterior chance of
 the threshold falls under the chosen miss probability, and confirmed on the full sets.
 
@@ -26,30 +29,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from talus.llm.buffers import U64, mix, shingle_sets, slices
-from talus.llm.components import connected_components
+from talus.llm.components import merged
 from talus.session import cut, written
 
-BANDS, ROWS, BATCH = 24, 4, 16
+BANDS, ROWS, BATCH = 40, 6, 20
 HASHES = BANDS * ROWS
-_SEEDS = np.random.default_rng(77).integers(0, 1 << 64, (2, HASHES), dtype=U64)
-_MULTIPLY, _ADD = _SEEDS[0] | U64(1), _SEEDS[1]
+_SEEDS = np.random.default_rng(77).integers(0, 1 << 32, (2, HASHES), dtype=np.uint32)
+_MULTIPLY, _ADD = _SEEDS[0] | np.uint32(1), _SEEDS[1]
 _BAND_WEIGHTS = mix(np.arange(1, ROWS + 1, dtype=U64)) | U64(1)
 _BAND_IDS = mix(np.arange(1000, 1000 + BANDS, dtype=U64))
 
 
 def signature(items: np.ndarray) -> np.ndarray:
-    """HASHES minima of 32 bits; blocks keep the product table in cache."""
-    best = np.full(HASHES, 0xFFFFFFFF, U64)
-    for lo in range(0, len(items), 512):
-        values = items[lo : lo + 512, None] * _MULTIPLY
+    """HASHES minima of 32-bit hashes; blocks keep the product table in cache."""
+    best = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    short = (items >> U64(32)).astype(np.uint32)
+    for lo in range(0, len(short), 256):
+        values = short[lo : lo + 256, None] * _MULTIPLY
         values += _ADD
-        values >>= U64(32)
         np.minimum(best, values.min(axis=0), out=best)
     return best
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
-    return mix((sig.reshape(BANDS, ROWS) * _BAND_WEIGHTS).sum(axis=1, dtype=U64) + _BAND_IDS).view(np.int64)
+    return mix((sig.astype(U64).reshape(BANDS, ROWS) * _BAND_WEIGHTS).sum(axis=1, dtype=U64) + _BAND_IDS).view(np.int64)
 
 
 def set_key(items: np.ndarray) -> bytes:
@@ -60,7 +63,8 @@ def least_matches(threshold: float, miss: float) -> np.ndarray:
     """By number of compared signature values, the fewest matches that keep a pair.
 
     Under a uniform prior the posterior of the similarity after m matches of n is Beta(m+1, n-m+1);
-    its chance to reach the threshold is a binomial sum over n+1 draws.
+    its chance to reach the threshold is a binomial sum over n+1 draws. Only the low byte of each
+    value is compared; its chance matches can keep a pair, never drop one.
     """
     out = []
     for n in range(BATCH, HASHES + 1, BATCH):
@@ -83,7 +87,7 @@ def _sketch(size: int):
                     part.column("doc_id"),
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([set_key(x) if len(x) else None for x in sets], pa.binary()),
-                    pa.array([None if x is None else x.astype(np.uint32).tobytes() for x in sigs], pa.binary()),
+                    pa.array([None if x is None else x.astype(np.uint8).tobytes() for x in sigs], pa.binary()),
                     pa.array([None if x is None else bands(x) for x in sigs], pa.list_(pa.int64())),
                 ],
                 ["doc_id", "n_shingles", "set_key", "sig", "bands"],
@@ -113,8 +117,8 @@ def _plausible(threshold: float, miss: float):
 
     @pandas_udf("boolean")
     def plausible(a, b):
-        left = np.frombuffer(b"".join(a), np.uint32).reshape(len(a), HASHES)
-        right = np.frombuffer(b"".join(b), np.uint32).reshape(len(b), HASHES)
+        left = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), HASHES)
+        right = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), HASHES)
         alive = np.arange(len(a))
         matches = np.zeros(len(a), int)
         for k, need in enumerate(least):
@@ -133,7 +137,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, miss: float =
 
     Two documents are linked when 100 * |A and B| >= percent * |A or B| over their distinct shingles
     of ``size`` words; component_id is the smallest doc_id reachable over links.
-    A link at the threshold escapes all bands with chance (1 - 0.8**4)**24, about 3 in a million.
+    A link at the threshold escapes all bands with chance (1 - 0.8**6)**40, about 5 in a million;
+    one of similarity 0.85 in a billion.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = written(
@@ -142,32 +147,23 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, miss: float =
     classes = written(
         sketch.where("set_key is not null and doc_id is not null")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
         "classes",
     )
-    sigs = classes.select("rep", "sig")
-    members = classes.select("rep", F.explode("bands").alias("band")).distinct()
+    members = classes.select("rep", "n", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("band")
-    members = written(members.join(shared, "band"), "members")
+    left = written(members.join(shared, "band").select("band", "rep", "n", F.lit(1).alias("place"), F.col("rep").alias("component")).distinct(), "members")
+    sets = _full_sets(docs, classes, left.select("rep").distinct(), size)
+    sigs = classes.select("rep", "sig")
     plausible = _plausible(percent / 100, miss)
-    links = done = labels = None
+    labels = done = None
     centres = 1
-    while True:
-        if labels is None:
-            left = members.withColumn("component", F.col("rep"))
-        else:
-            left = members.join(labels, members.rep == labels.id, "left").select(
-                "rep", "band", F.coalesce("component", "rep").alias("component")
-            )
-            mixed = left.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-            left = cut(left.join(mixed.select("band"), "band"))
-            if left.isEmpty():
-                break
-        first, members = _centres(left, centres)
-        centres *= 4
-        pairs = (
-            left.join(first, "band").where("rep > v and component <> v_component").select(F.col("rep").alias("u"), "v").distinct()
-        )
+    while not left.isEmpty():
+        first, others, rest = _centres(left, centres)
+        # both sets ordered by rarity, this their first item in common: no more than what follows can be
+        most = "(1 + least(n - place, v_n - v_place))"
+        pairs = others.join(first, "band").where(f"rep > v and component <> v_component and 100 * {most} >= {percent} * (n + v_n - {most})")
+        pairs = pairs.select(F.col("rep").alias("u"), "v").distinct()
         pairs = cut(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"))
         done = pairs if done is None else done.union(pairs)
         likely = cut(
@@ -175,11 +171,16 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, miss: float =
             .join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sv")), "v")
             .where(plausible("su", "sv"))
             .select("u", "v")
-            .distinct()
         )
-        found = _confirmed(docs, classes, likely, size, percent)
-        links = found if links is None else cut(links.union(found))
-        labels = cut(connected_components(links))
+        if not likely.isEmpty():
+            labels = merged(labels, _confirmed(sets, likely, percent))
+        left = _unsettled(rest, labels)
+        if done is pairs:
+            left = _unsettled(_by_rare_items(left, sets, percent), labels)
+        else:
+            centres *= 32
+    if labels is None:
+        labels = docs.sparkSession.createDataFrame([], "id long, component long")
     keyed = classes.join(labels, classes.rep == labels.id, "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id")
     )
@@ -192,28 +193,57 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, miss: float =
     )
 
 
-def _centres(left: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
-    """The ``count`` smallest members of each bucket, and the members that are left without them."""
+def _centres(left: DataFrame, count: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ``count`` smallest members of each bucket, those they are compared with, and those left after."""
+    centre = [F.col("rep").alias("v"), F.col("n").alias("v_n"), F.col("place").alias("v_place"), F.col("component").alias("v_component")]
     if count == 1:
-        low = left.groupBy("band").agg(F.min(F.struct("rep", "component")).alias("c"))
-        first = low.select("band", F.col("c.rep").alias("v"), F.col("c.component").alias("v_component"))
-        return first, left.join(first, "band").where("rep > v").select("rep", "band")
-    rank = F.row_number().over(Window.partitionBy("band").orderBy("rep"))
-    ranked = left.withColumn("rank", rank)
-    first = ranked.where(F.col("rank") <= count).select("band", F.col("rep").alias("v"), F.col("component").alias("v_component"))
-    return first, cut(ranked.where(F.col("rank") > count).select("rep", "band"))
+        low = left.groupBy("band").agg(F.min(F.struct("rep", "n", "place", "component")).alias("c")).select("band", "c.*")
+        rest = left.join(low.select("band", F.col("rep").alias("low")), "band").where("rep > low").drop("low")
+        return low.select("band", *centre), rest, rest
+    ranked = cut(left.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("rep"))))
+    return ranked.where(F.col("rank") <= count).select("band", *centre), ranked.where(F.col("rank") > 1), ranked.where(F.col("rank") > count)
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, likely: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
-    wanted = likely.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
-    heads = classes.join(wanted, "rep").select("set_key", "rep")
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+def _unsettled(left: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of the buckets that still hold several components."""
+    left = left.select("band", "rep", "n", "place")
+    if labels is None:
+        left = left.withColumn("component", F.col("rep"))
+    else:
+        left = left.join(labels, left.rep == labels.id, "left").select("band", "rep", "n", "place", F.coalesce("component", "rep").alias("component"))
+    mixed = left.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return cut(left.join(mixed.select("band"), "band"))
+
+
+def _by_rare_items(left: DataFrame, sets: DataFrame, percent: int, salts: int = 8) -> DataFrame:
+    """The members of ``left`` in one bucket for each rare item that a link may have to share.
+
+    Counts come from a map-side combined aggregation and are joined back salted, as one item may be
+    in very many sets.
+    """
+    salt = F.pmod(F.col("rep"), F.lit(salts)).cast("int")
+    items = sets.join(left.select("rep", "n").distinct(), "rep").select("rep", "n", F.explode("items").alias("item"), salt.alias("salt"))
+    shared = items.groupBy("item").agg(F.count("*").alias("holders")).where("holders > 1")
+    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("holders", F.lit(1)), "item"))
+    ranked = items.join(shared, ["item", "salt"], "left").withColumn("place", place)
+    prefix = ranked.where(F.expr(f"place <= n - ({percent} * n + 99) div 100 + 1 and holders > 1"))
+    return prefix.select(F.col("item").alias("band"), "rep", "n", "place")
+
+
+def _full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """rep, items: the whole set of each class in ``reps``."""
+    heads = classes.join(reps, "rep").select("set_key", "rep")
+    texts = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets(size), "rep long, set_key binary, items array<long>").join(heads, ["rep", "set_key"], "left_semi")
-    sets = written(sets.dropDuplicates(["rep", "set_key"]).select("rep", "items"), "sets", "lz4")
+    return written(sets.dropDuplicates(["rep", "set_key"]).select("rep", "items"), "sets", "lz4")
+
+
+def _confirmed(sets: DataFrame, likely: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the similarity."""
     both = likely.join(sets.select(F.col("rep").alias("u"), F.col("items").alias("a")), "u").join(
         sets.select(F.col("rep").alias("v"), F.col("items").alias("b")), "v"
     )
     shared = F.size(F.array_intersect("a", "b")).cast("long")
     both = both.select("u", "v", shared.alias("n"), (F.size("a") + F.size("b")).alias("total"))
-    return cut(both.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("u", "v").distinct())
+    return cut(both.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("u", "v"))

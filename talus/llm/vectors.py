@@ -124,8 +124,7 @@ def fit_index(reps: DataFrame, k: int, sample_rows: int = 16384, most_lists: int
     np.put_along_axis(place, ranked, np.arange(len(centres))[None, :].repeat(len(asked), 0), axis=1)
     need = np.sort(np.take_along_axis(place, cell[near], axis=1).ravel())
     probes = int(need[min(len(need) - 1, int(np.ceil(wanted * len(need))))]) + 1
-    keep = r.permutation(len(sample))[:2048]
-    return Index(index.norm, rotation, centres, probes, ids[keep], sample[keep], k)
+    return Index(index.norm, rotation, centres, probes, ids, sample, k)
 
 
 def cells(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
