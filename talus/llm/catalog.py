@@ -1,8 +1,8 @@
 """The queries of this package."""
 
-from talus.llm import op1, op3, op4, op5, op6, op7, op9, op10
+from talus.llm import op1, op2, op3, op4, op5, op6, op7, op9, op10
 
-MODULES = (op1, op3, op4, op5, op6, op7, op9, op10)
+MODULES = (op1, op2, op3, op4, op5, op6, op7, op9, op10)
 
 
 def queries() -> dict:
