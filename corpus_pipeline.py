@@ -1,2 +1,58 @@
-"""Placeholder"""
-STAGES = []
+"""The corpus pipeline: toxic documents out, repeated lines out, near copies out, sources mixed, encoded.
+
+Each stage takes (spark, docs, sf_dir) and works on every row that the stage before it kept. All but
+the last return the columns of documents, with n_chars following the text.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from talus.llm import pieces
+from talus.llm.line_dedup import dedup_lines, small
+from talus.llm.mixing import mixed
+from talus.llm.near_dedup import near_groups
+from talus.llm.op3 import REJECT
+from talus.llm.toxicity import fitted, scored
+from talus.session import table, written
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity stays below the limit; the model learns from labels outside its held-out fold."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = fitted(docs.select("doc_id", "text"), labels)
+    return scored(docs, model, docs.columns).where(F.col("score") < REJECT).drop("score")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that repeat an earlier one; a document left without any text goes."""
+    kept = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", chars).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies; rows that repeat a doc_id go only together."""
+    groups = near_groups(docs.select("doc_id", "text"), size=5, percent=80)
+    gone = groups.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept")
+    return docs.join(small(written(gone.select("doc_id"), "gone")), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The copies that the sources' target weights take, in training order."""
+    return mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their piece_ids."""
+    return pieces.encoded(docs).drop("decoded")
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -30,7 +30,8 @@ _SALTS = 16
 _PATHS = ("pp", "ps", "sp", "ss")
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast ``df`` if its rows are few enough, else leave the join to a shuffle."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
@@ -120,7 +121,7 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     likely = _sharing(kept, "halves", ["a", "b", "first"]).select("a", "b", "first").distinct()
     places = likely.groupBy("first.doc", "first.text_key").agg(F.collect_list(F.struct("first.at", "a", "b", "first")).alias("wanted"))
     places = written(places, "places")
-    found = docs.join(_small(places), ["doc", "text_key"])
+    found = docs.join(small(places), ["doc", "text_key"])
     rows = F.split("text", "\n")
     texts = found.select(F.inline(F.transform("wanted", lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), w["first"].alias("first"), F.get(rows, w["at"]).alias("line")))))
     texts = written(texts.dropDuplicates(["a", "b"]), "texts", "lz4")
@@ -141,7 +142,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     rows = F.split(F.col("text").cast("string"), "\n")
     every = F.sequence(F.lit(0), F.size(rows) - 1)
     kept = F.array_join(F.transform(F.array_except(every, F.col("_gone")), lambda i: F.get(rows, i)), "\n")
-    joined = keyed.join(_small(gone), ["_doc", "_key"], "left")
+    joined = keyed.join(small(gone), ["_doc", "_key"], "left")
     counted = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(rows)).cast("long")).withColumn(
         "n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
     )
