@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talus.plans import risk
+from talus.plans import corpus, events, risk
 
-MODULES = (risk,)
+MODULES = (risk, events, corpus)
 
 
 def queries() -> dict:
