@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from talus.session import cut
 
 
+def fewer(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` rows need: small rounds don't deal out empty files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     return r.n, r.s
@@ -22,18 +27,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(edges)
     while before[0]:
+        edges = fewer(edges, before[0])
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = fewer(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), before[0])
+        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = fewer(fewer(large, before[0]).distinct(), before[0])
+        low = fewer(large.groupBy("u").agg(F.min("v").alias("m")), before[0])
+        small = fewer(large.join(low, "u"), before[0])
         small = (
-            large.join(low, "u")
+            small
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
-            .distinct()
         )
-        edges = cut(small)
+        edges = cut(fewer(small.distinct(), before[0]))
         after = _state(edges)
         if after == before:
             break
@@ -53,6 +60,7 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     of_v = labels.select(F.col("id").alias("v"), F.col("component").alias("cv"))
     links = links.join(of_u, "u", "left").join(of_v, "v", "left")
     links = cut(links.select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")))
+    links = fewer(links, links.count())
     joined = cut(connected_components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v"))))
     fresh = links.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(labels, "id", "left_anti")
     every = labels.union(fresh.select("id", F.col("id").alias("component")))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from talus.llm.buffers import U64, mix, shingle_sets, slices
-from talus.llm.components import merged
+from talus.llm.components import fewer, merged
 from talus.session import cut, written
 
 BANDS, ROWS, BATCH = 40, 6, 20
@@ -158,13 +158,15 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, miss: float =
     plausible = _plausible(percent / 100, miss)
     labels = done = None
     centres = 1
-    while not left.isEmpty():
+    while rows := left.count():
+        left = fewer(left, rows)
         first, others, rest = _centres(left, centres)
         # both sets ordered by rarity, this their first item in common: no more than what follows can be
         most = "(1 + least(n - place, v_n - v_place))"
         pairs = others.join(first, "band").where(f"rep > v and component <> v_component and 100 * {most} >= {percent} * (n + v_n - {most})")
-        pairs = pairs.select(F.col("rep").alias("u"), "v").distinct()
+        pairs = fewer(pairs.select(F.col("rep").alias("u"), "v"), rows).distinct()
         pairs = cut(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"))
+        pairs = fewer(pairs, pairs.count())
         done = pairs if done is None else done.union(pairs)
         likely = cut(
             pairs.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("su")), "u")
@@ -212,7 +214,8 @@ def _unsettled(left: DataFrame, labels: DataFrame | None) -> DataFrame:
     else:
         left = left.join(labels, left.rep == labels.id, "left").select("band", "rep", "n", "place", F.coalesce("component", "rep").alias("component"))
     mixed = left.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return cut(left.join(mixed.select("band"), "band"))
+    left = cut(left.join(mixed.select("band"), "band"))
+    return fewer(left, left.count())
 
 
 def _by_rare_items(left: DataFrame, sets: DataFrame, percent: int, salts: int = 8) -> DataFrame:
