@@ -152,6 +152,7 @@ def _placed(index: Index):
 def _asked(index: Index):
     """Queries with their cells, the best of the sample, and the k-th best score among its others.
 
+    The whole fit sample gives that bound: the closer it is, the fewer pairs the cells return.
     The sample's vectors are candidates like any other: the bound is never below the true one, and
     every query has k results even where its cells hold fewer.
     """
