@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talus.functions.text import byte_entropy
+
 # Calls that are findings. Columns: check, module, functions (* for all), severity at
 # run time, severity at compile time.
 PATTERNS = (
@@ -33,6 +35,7 @@ PATTERNS = (
     ("crypto_decrypt", "crypto", "block_decrypt crypto_one_time stream_decrypt crypto_one_time_aead block_decrypt_init", "warning", "warning"),
     ("file_access", "File", "read! write! stream! rm rm_rf read write cp cp_r open open!", "warning", "info"),
     ("file_access", "file", "read_file read_file_info consult open read pread script path_consult path_script list_dir read_link write_file delete del_dir rename make_link make_symlink", "warning", "info"),
+    ("dynamic_apply", "Kernel", "apply_dynamic", "warning", "warning"),
     ("env_access", "System", "get_env fetch_env fetch_env!", "warning", "warning"),
 )
 SENSITIVE_PATHS = ("~/.ssh", "~/.aws", "~/.kube", "~/.gnupg", "~/.config", "/etc/passwd", "/etc/shadow")
@@ -66,3 +69,18 @@ def call_findings(facts: DataFrame) -> DataFrame:
         .otherwise(plain)
     )
     return found.select("path", "line", "check_id", severity.alias("severity"), "compile_time")
+
+
+def decode_then_eval(facts: DataFrame) -> DataFrame:
+    """path, body of the definitions that both decode base 64 and evaluate a string."""
+    has = lambda m, f: F.max(F.when((F.col("module") == m) & (F.col("func") == f), 1).otherwise(0)) == 1
+    both = facts.groupBy("path", "body").agg(has("Base", "decode64").alias("decodes"), has("Code", "eval_string").alias("evaluates"))
+    return both.where("decodes and evaluates").select("path", "body")
+
+
+def dense_literals(texts: DataFrame, least: int = 40, bits: float = 5.5, spaces: float = 0.1) -> DataFrame:
+    """path, line, entropy of string literals (path, line, text) that look encoded."""
+    blank = F.regexp_count("text", F.lit(" ")) / F.char_length("text")
+    likely = texts.where((F.octet_length("text") > least) & (blank <= spaces) & ~F.startswith("text", F.lit("data:")))
+    keyed = likely.select(F.struct("path", "line", F.xxhash64("text").alias("at")).alias("key"), "text").dropDuplicates(["key"])
+    return byte_entropy(keyed, "key", "text").where(F.col("entropy") > bits).select("key.path", "key.line", "entropy")

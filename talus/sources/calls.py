@@ -20,7 +20,8 @@ ALIAS = re.compile(r"^\s*alias\s+([A-Z][\w.]*)(?:\s*,\s*as:\s*([A-Z]\w*))?", re.
 CALL = re.compile(r"(?<![\w.:@])(:[a-z]\w*|[A-Z]\w*(?:\.[A-Z]\w*)*)\.([a-z_]\w*[?!]?)(\(?)")
 DEFINES = re.compile(r"^(\s*)(defmacrop?|defp?)\b")
 LITERAL = re.compile(r'"((?:\\.|[^"\\])*)"|~c"((?:\\.|[^"\\])*)"')
-FACTS = "line int, module string, func string, empty_call boolean, literals array<string>, compile_time boolean"
+APPLY = re.compile(r"(?<![\w.:@])apply\(")
+FACTS = "line int, body int, module string, func string, empty_call boolean, literals array<string>, compile_time boolean"
 
 
 def masked(content: str) -> str:
@@ -37,6 +38,18 @@ def arguments(plain: str, start: int, most: int = 2000) -> tuple[int, int]:
     return start, min(len(plain), start + most)
 
 
+def top_level(plain: str) -> list[str]:
+    """The arguments of a bracketed list, split at its own commas."""
+    out, depth = [""], 0
+    for c in plain:
+        depth += (c in "([{") - (c in ")]}")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
 @udtf(returnType=FACTS)
 class CallFacts:
     def eval(self, content: str):
@@ -44,7 +57,7 @@ class CallFacts:
             return
         plain = masked(content)
         aliases = [(m.start(), m[2] or m[1].rsplit(".", 1)[-1], m[1]) for m in ALIAS.finditer(plain)]
-        starts, kinds, open_ = [0], [], []
+        starts, kinds, open_ = [0], [], []  # kinds: the enclosing definition of each line and its line
         for text in plain.split("\n"):
             starts.append(starts[-1] + len(text) + 1)
             if text.strip():
@@ -52,8 +65,8 @@ class CallFacts:
                 while open_ and open_[-1][0] >= indent:
                     open_.pop()
                 if m := DEFINES.match(text):
-                    open_.append((indent, m[2]))
-            kinds.append(open_[-1][1] if open_ else "")
+                    open_.append((indent, m[2], len(starts) - 1))
+            kinds.append(open_[-1][1:] if open_ else ("", 0))
         for m in CALL.finditer(plain):
             line = bisect.bisect_right(starts, m.start()) - 1
             module = m[1].lstrip(":")
@@ -66,8 +79,29 @@ class CallFacts:
                 lo, hi = arguments(plain, m.end())
                 empty = not content[lo:hi].strip()
                 given = [a or b for a, b in LITERAL.findall(content[lo:hi])]
-            kind = kinds[line]
-            yield line + 1, module, m[2], empty, given, not kind.startswith("def") or kind.startswith("defmacro")
+            kind, body = kinds[line]
+            yield line + 1, body, module, m[2], empty, given, not kind.startswith("def") or kind.startswith("defmacro")
+        for m in APPLY.finditer(plain):
+            given = top_level(plain[slice(*arguments(plain, m.end()))])
+            if len(given) == 3 and not all(re.fullmatch(r":[a-z_]\w*[?!]?", x) for x in given[:2]):
+                line = bisect.bisect_right(starts, m.start()) - 1
+                kind, body = kinds[line]
+                yield line + 1, body, "Kernel", "apply_dynamic", False, [], not kind.startswith("def") or kind.startswith("defmacro")
+
+
+@udtf(returnType="line int, text string")
+class Literals:
+    """String literals outside comments, by the line they start in."""
+
+    def eval(self, content: str):
+        for m in MASKED.finditer(content or ""):
+            if m[0][0] == '"':
+                yield content.count("\n", 0, m.start()) + 1, m[0].strip('"')
+
+
+def literals(found: DataFrame) -> DataFrame:
+    """path, line and text of each string literal in (path, content) rows."""
+    return found.select("path", "content").lateralJoin(Literals(F.col("content").outer())).drop("content")
 
 
 def call_facts(found: DataFrame) -> DataFrame:

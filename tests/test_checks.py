@@ -1,7 +1,7 @@
 import pytest
 
-from talus.operators.checks import PATTERNS, call_findings
-from talus.sources.calls import call_facts
+from talus.operators.checks import PATTERNS, call_findings, decode_then_eval, dense_literals
+from talus.sources.calls import call_facts, literals
 
 EVIL = '''defmodule Evil do
   alias Mint.HTTP, as: Net
@@ -57,3 +57,26 @@ def test_every_pattern_fires_once(spark):
 def test_other_calls_stay_quiet(spark, line):
     found = spark.createDataFrame([("a.ex", f"defmodule A do\n  def f(x), do: {line}\nend\n")], "path string, content string")
     assert call_findings(call_facts(found)).collect() == []
+
+
+def test_obfuscation(spark):
+    import base64
+    import random
+
+    blob = base64.b64encode(random.Random(1).randbytes(120)).decode()
+    code = f"""defmodule A do
+  def f(x) do
+    y = Base.decode64("{blob}")
+    Code.eval_string(y)
+  end
+  def g(m, x), do: apply(m, :run, [x])
+  def h(x), do: apply(:lists, :sort, [x])
+  def i(x), do: Base.decode64(x)
+  @plain "just a long line of ordinary words that nobody would ever call encoded text"
+end
+"""
+    found = spark.createDataFrame([("a.ex", code)], "path string, content string")
+    facts = call_facts(found)
+    assert [tuple(r) for r in decode_then_eval(facts).collect()] == [("a.ex", 2)]
+    assert [(r.path, r.line) for r in dense_literals(literals(found)).collect()] == [("a.ex", 3)]
+    assert [r.line for r in call_findings(facts).collect() if r.check_id == "dynamic_apply"] == [6]
