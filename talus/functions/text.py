@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 def byte_entropy(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, n_bytes, entropy (bits a byte, rounded to 6 places); empty texts have none to report.
 
-    One row a byte value after the map-side combine, so long texts don't gather in one place.
+    Characters are counted before they are taken apart into bytes, and combined map-side, so long
+    texts don't gather in one place.
     """
-    pairs = F.regexp_extract_all(F.hex(F.col(text).cast("binary")), F.lit(".."), F.lit(0))
-    counts = rows.select(key, F.explode(pairs).alias("byte")).groupBy(key, "byte").agg(F.count("*").alias("n"))
+    characters = F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0))
+    seen = rows.select(key, F.explode(characters).alias("c")).groupBy(key, "c").agg(F.count("*").alias("n"))
+    pairs = F.regexp_extract_all(F.hex(F.col("c").cast("binary")), F.lit(".."), F.lit(0))
+    counts = seen.select(key, "n", F.explode(pairs).alias("byte")).groupBy(key, "byte").agg(F.sum("n").alias("n"))
     sums = counts.groupBy(key).agg(F.sum("n").alias("n_bytes"), F.sum(F.col("n") * F.log2("n")).alias("weighed"))
     return sums.select(key, "n_bytes", F.round(F.log2("n_bytes") - F.col("weighed") / F.col("n_bytes"), 6).alias("entropy"))
 
