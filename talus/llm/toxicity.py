@@ -159,22 +159,34 @@ class Model:
 
     def best(self, texts: list[str]) -> np.ndarray:
         """Each text's highest token score."""
-        t = tokens(texts)
         best = np.full(len(texts), -2.0)
-        if len(t.start):
-            np.maximum.at(best, t.text, token_scores(t, self.weights) + self.bias)
+        sizes = np.cumsum([len(x) for x in texts])
+        lo = 0
+        while lo < len(texts):
+            # a quarter of a megabyte at a time, one text at least
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + (1 << 18), "right")))
+            t = tokens(texts[lo:hi])
+            if len(t.start):
+                np.maximum.at(best, lo + t.text, token_scores(t, self.weights) + self.bias)
+            lo = hi
         return best
 
     def score(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.best(texts) + self.shift, -30, 30)))
 
 
-def _vocabulary(texts: list[str]) -> list[list[str]]:
-    out = []
+def _vocabulary(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """(distinct tokens by name, each text's distinct tokens by number)."""
+    number: dict[str, int] = {}
+    bags = []
     for text in texts:
-        words = text.replace("\0", " ").lower().split()
-        out.append(list(dict.fromkeys(w[: 2 * RUN] for w in words)))
-    return out
+        held = {number.setdefault(w[: 2 * RUN], len(number)) for w in text.replace("\0", " ").lower().split()}
+        bags.append(np.fromiter(held, np.int32, len(held)))
+    words = list(number)
+    order = sorted(range(len(words)), key=words.__getitem__)
+    rank = np.empty(len(words), np.int32)
+    rank[order] = np.arange(len(words))
+    return [words[i] for i in order], [np.sort(rank[b]) for b in bags]
 
 
 def _squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -183,14 +195,21 @@ def _squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
     ridge = np.eye(z.shape[1])
     ridge[-1, -1] = 1e-3
 
+    y, cost = y.astype(np.float32), cost.astype(np.float32)
+
     def loss(v):
-        return v @ ridge @ v + (cost * np.maximum(0, 1 - y * (z @ v)) ** 2).sum()
+        return v @ ridge @ v + (cost * np.maximum(0, 1 - y * (z @ v.astype(np.float32))) ** 2).sum(dtype=np.float64)
 
     now = loss(w)
     for _ in range(rounds):
-        active = y * (z @ w) < 1
-        part = z[active] * cost[active, None]
-        step = np.linalg.solve(ridge + part.T @ z[active], part.T @ y[active]) - w
+        active = np.flatnonzero(y * (z @ w.astype(np.float32)) < 1)
+        square, side = ridge.copy(), np.zeros(z.shape[1])
+        for lo in range(0, len(active), 4096):
+            part = z[active[lo : lo + 4096]].astype(np.float64)
+            weighed = part * cost[active[lo : lo + 4096], None]
+            square += weighed.T @ part
+            side += weighed.T @ y[active[lo : lo + 4096]]
+        step = np.linalg.solve(square, side) - w
         size = 1.0
         while size > 1e-3 and loss(w + size * step) > now:
             size /= 2
@@ -201,6 +220,32 @@ def _squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
     return w
 
 
+def _landmark_table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of quadruples, their values in each landmark)."""
+    row, col, value = features(words)
+    kinds = np.unique(col)
+    table = np.zeros((len(kinds), len(words)), np.float32)
+    np.add.at(table, (np.searchsorted(kinds, col), row), value)
+    return kinds, table
+
+
+def _kernel(words: list[str], kinds: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Kernel values of words and landmarks, a few thousand words at a time."""
+    out = np.zeros((len(words), table.shape[1]), np.float32)
+    for lo in range(0, len(words), 2000):
+        row, col, value = features(words[lo : lo + 2000])
+        spot = np.searchsorted(kinds, col)
+        spot[spot == len(kinds)] = 0
+        known = kinds[spot] == col
+        row, spot, value = row[known], spot[known], value[known]
+        order = np.argsort(row, kind="stable")
+        for at in range(0, len(order), 20_000):
+            part = order[at : at + 20_000]
+            heads, starts = np.unique(row[part], return_index=True)
+            out[lo + heads] += np.add.reduceat(table[spot[part]] * value[part, None].astype(np.float32), starts, axis=0)
+    return out
+
+
 def train(texts: list[str], labels: np.ndarray, landmarks: int = 192, rounds: int = 4, seed: int = 5) -> Model:
     """Fit on labelled texts held in memory; the caller bounds them."""
     r = np.random.default_rng(seed)
@@ -213,10 +258,7 @@ def train(texts: list[str], labels: np.ndarray, landmarks: int = 192, rounds: in
         held[:] = False
     check_texts, check = ([t for t, h in zip(texts, held) if h], labels[held]) if held.any() else (texts, labels)
     texts, labels = [t for t, h in zip(texts, held) if not h], labels[~held]
-    bags = _vocabulary(texts)
-    words = sorted({w for b in bags for w in b})
-    number = {w: i for i, w in enumerate(words)}
-    bags = [np.array([number[w] for w in b], int) for b in bags]
+    words, bags = _vocabulary(texts)
     toxic, clean = np.zeros(len(words)), np.zeros(len(words))
     for bag, y in zip(bags, labels):
         (toxic if y else clean)[bag] += 1
@@ -236,15 +278,15 @@ def train(texts: list[str], labels: np.ndarray, landmarks: int = 192, rounds: in
     if not len(sure):
         return Model(empty, 0.0, 0.0, float(np.log(n_toxic / n_clean)))
     witness = sure
-    frequent = np.argsort(-clean, kind="stable")[:8000]
+    frequent = np.argsort(-clean, kind="stable")[:5000]
     mined = near = np.zeros(0, int)
     for _ in range(rounds):
         weight = toxic[witness]
         marks = witness[np.argsort(-weight, kind="stable")[: landmarks // 2]]
         negative = np.flatnonzero((clean > 0) & ~pure)
-        hard = negative[np.argsort(-lead[negative], kind="stable")[:4000]]
+        hard = negative[np.argsort(-lead[negative], kind="stable")[:2500]]
         mined = np.union1d(mined, hard)
-        negative = np.unique(np.concatenate([mined, np.intersect1d(frequent, negative), negative[r.permutation(len(negative))[:40000]]]))
+        negative = np.unique(np.concatenate([mined, np.intersect1d(frequent, negative), negative[r.permutation(len(negative))[:20000]]]))
         # the common clean tokens that looked most toxic in any round
         common = frequent[clean[frequent] > 0]
         common = common[~pure[common]]
@@ -254,28 +296,13 @@ def train(texts: list[str], labels: np.ndarray, landmarks: int = 192, rounds: in
         plain = [words[i] for i in witness[np.argsort(-weight, kind="stable")[:400]]]
         hidden = [w[: len(w) // 2] + "*" + w[len(w) // 2 :] for w in plain]
         used = np.concatenate([marks, witness, negative])
-        row, col, value = features([*[words[i] for i in used], *hidden])
-        total = len(used) + len(hidden)
-        inside = row < len(marks)
-        kinds = np.unique(col[inside])
-        table = np.zeros((len(kinds), len(marks)))
-        np.add.at(table, (np.searchsorted(kinds, col[inside]), row[inside]), value[inside])
-        spot = np.searchsorted(kinds, col)
-        spot[spot == len(kinds)] = 0
-        known = kinds[spot] == col
-        row, spot, value = row[known], spot[known], value[known]
-        order = np.argsort(row, kind="stable")
-        row, spot, value = row[order], spot[order], value[order]
-        kernel = np.zeros((total, len(marks)))
-        for lo in range(0, len(row), 100_000):
-            hi = slice(lo, lo + 100_000)
-            heads, starts = np.unique(row[hi], return_index=True)
-            kernel[heads] += np.add.reduceat(table[spot[hi]] * value[hi, None], starts, axis=0)
+        kinds, table = _landmark_table([words[i] for i in marks])
+        kernel = _kernel([*[words[i] for i in used], *hidden], kinds, table)
         square = kernel[: len(marks)]
-        values, vectors = np.linalg.eigh((square + square.T) / 2)
+        values, vectors = np.linalg.eigh((square + square.T).astype(np.float64) / 2)
         good = values > 1e-6 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
-        z = np.column_stack([kernel[len(marks) :] @ root, np.ones(total - len(marks))])
+        z = np.column_stack([kernel[len(marks) :] @ root.astype(np.float32), np.ones(len(kernel) - len(marks), np.float32)])
         y = np.concatenate([np.ones(len(witness)), -np.ones(len(negative)), np.ones(len(hidden))])
         # an example weighs as the documents that hold it, a hidden form little; y has them last
         cost = COST * np.concatenate([weight, 1 + clean[negative], np.full(len(hidden), 2.0)])
@@ -283,9 +310,7 @@ def train(texts: list[str], labels: np.ndarray, landmarks: int = 192, rounds: in
         weights = empty.astype(np.float64)
         weights[kinds] = table @ (root @ w[:-1])
         bias = float(w[-1])
-        every = tokens(words)
-        lead = np.full(len(words), -2.0)
-        np.maximum.at(lead, every.text, token_scores(every, weights.astype(np.float32)) + bias)
+        lead = Model(weights.astype(np.float32), bias, 1.0, 0.0).best(words)
         witness = np.union1d(sure, np.flatnonzero(pure & (evidence > 2) & (lead > 0.5)))
     model = Model(weights.astype(np.float32), bias, 1.0, 0.0)
     return Model(model.weights, bias, *_platt(model.best(check_texts), check))
@@ -336,7 +361,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return held.mapInArrow(run, f"{schema}, score double")
 
 
-def fitted(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, most: int = 2000) -> Model:
     """A model from the labelled documents whose fold of four is not 2; ``labels`` (doc_id, label)."""
     allowed = labels.where(fold(F.col("doc_id"), 4) != 2)
     return train(*labelled_sample(docs.select("doc_id", F.col("text").cast("string").alias("text")), allowed, most))
