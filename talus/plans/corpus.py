@@ -114,7 +114,7 @@ def capability_mismatch(spark, sf_dir):
     """Declared and observed capabilities by supplier: what is used undeclared, what is declared unused."""
     items = table(spark, sf_dir, "lineitem")
     seen = items.select("l_suppkey", F.concat_ws("/", "l_returnflag", "l_linestatus").alias("capability")).distinct()
-    declared = items.where("l_linenumber = 1 and l_suppkey % 2 = 0").select("l_suppkey", F.concat_ws("/", "l_returnflag", "l_linestatus").alias("capability")).distinct()
+    declared = items.where("l_linenumber = 1 and l_quantity < 3 and l_suppkey % 2 = 0").select("l_suppkey", F.concat_ws("/", "l_returnflag", "l_linestatus").alias("capability")).distinct()
     owners = declared.select("l_suppkey").distinct()
     both = declared.withColumn("declared", F.lit(1)).join(seen.join(owners, "l_suppkey", "left_semi").withColumn("seen", F.lit(1)), ["l_suppkey", "capability"], "full_outer")
     problem = F.when(F.col("declared").isNull(), "undeclared_use").when(F.col("seen").isNull(), "declared_unused")
@@ -233,7 +233,7 @@ ORACLES = {
     "import_density": """WITH g AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS kinds, CAST(sum(l_quantity) AS BIGINT) AS uses FROM lineitem GROUP BY 1)
         SELECT *, CASE WHEN kinds >= 5 AND uses >= 150 THEN 'critical' WHEN kinds >= 5 OR uses >= 150 THEN 'warning' ELSE 'none' END AS severity FROM g""",
     "capability_mismatch": """WITH seen AS (SELECT DISTINCT l_suppkey, l_returnflag || '/' || l_linestatus AS capability FROM lineitem),
-        declared AS (SELECT DISTINCT l_suppkey, l_returnflag || '/' || l_linestatus AS capability FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 2 = 0),
+        declared AS (SELECT DISTINCT l_suppkey, l_returnflag || '/' || l_linestatus AS capability FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 3 AND l_suppkey % 2 = 0),
         used AS (SELECT * FROM seen WHERE l_suppkey IN (SELECT l_suppkey FROM declared))
         SELECT l_suppkey, capability, 'undeclared_use' AS problem FROM (SELECT * FROM used EXCEPT SELECT * FROM declared)
         UNION ALL SELECT l_suppkey, capability, 'declared_unused' FROM (SELECT * FROM declared EXCEPT SELECT * FROM used)""",
