@@ -34,3 +34,21 @@ def mismatched(declared: DataFrame, local: DataFrame) -> DataFrame:
     both = declared.join(local, "path", "left")
     problem = F.when(F.col("local_hash").isNull(), "missing").when(F.col("local_hash") != F.col("declared_hash"), "mismatch")
     return both.select("path", problem.alias("problem")).where("problem is not null")
+
+
+def capability_problems(declared: DataFrame, observed: DataFrame, valid: DataFrame, key: str) -> DataFrame:
+    """key, capability, problem (undeclared_use, declared_unused, unknown) of (key, capability) rows.
+
+    Keys that declare nothing have no problems; a declared capability outside ``valid`` is unknown,
+    used or not.
+    """
+    said = declared.select(key, "capability").distinct()
+    used = observed.join(said.select(key).distinct(), key, "left_semi").select(key, "capability").distinct()
+    both = said.withColumn("said", F.lit(1)).join(used.withColumn("used", F.lit(1)), [key, "capability"], "full_outer")
+    known = valid.select("capability").distinct().withColumn("known", F.lit(1))
+    problem = (
+        F.when(F.col("said").isNull(), "undeclared_use")
+        .when(F.col("known").isNull(), "unknown")
+        .when(F.col("used").isNull(), "declared_unused")
+    )
+    return both.join(known, "capability", "left").select(key, "capability", problem.alias("problem")).where("problem is not null")

@@ -121,6 +121,17 @@ def capability_mismatch(spark, sf_dir):
     return both.select("l_suppkey", "capability", problem.alias("problem")).where("problem is not null")
 
 
+def capability_mismatch_whole(spark, sf_dir):
+    """As above for every supplier, from two tables: an order's day is declared, a shipping day is observed.
+
+    Valid capabilities are the days on which anything was shipped.
+    """
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("capability"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("capability"))
+    declared = items.select("l_suppkey", "l_orderkey").distinct().join(orders, "l_orderkey")
+    return compare.capability_problems(declared, items, items, "l_suppkey")
+
+
 def shady_links(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("line"))
     return text.pattern_hits(pages, LINK_PATTERNS)
@@ -181,6 +192,7 @@ QUERIES = {
     for f in (
         typosquat_pairs, nearest_known, phantom_names, incident_range_join, patch_suggestions, bfs_depth, transitive_closure,
         version_history, file_set_diff, manifest_hash_verify, module_set_diff, delta_signals, import_density, capability_mismatch,
+        capability_mismatch_whole,
         shady_links, secret_literals, high_entropy_text, decode_eval_cooccurrence, metadata_penalties, pre_install_assessment,
         search_substring, parse_judgment,
     )
@@ -237,6 +249,12 @@ ORACLES = {
         used AS (SELECT * FROM seen WHERE l_suppkey IN (SELECT l_suppkey FROM declared))
         SELECT l_suppkey, capability, 'undeclared_use' AS problem FROM (SELECT * FROM used EXCEPT SELECT * FROM declared)
         UNION ALL SELECT l_suppkey, capability, 'declared_unused' FROM (SELECT * FROM declared EXCEPT SELECT * FROM used)""",
+    "capability_mismatch_whole": """WITH used AS (SELECT DISTINCT l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS capability FROM lineitem),
+        said AS (SELECT DISTINCT l_suppkey, strftime(o_orderdate, '%Y-%m-%d') AS capability FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+        known AS (SELECT DISTINCT capability FROM used)
+        SELECT l_suppkey, capability, 'undeclared_use' AS problem FROM (SELECT * FROM used WHERE l_suppkey IN (SELECT l_suppkey FROM said) EXCEPT SELECT * FROM said)
+        UNION ALL SELECT l_suppkey, capability, 'unknown' FROM said WHERE capability NOT IN (SELECT capability FROM known)
+        UNION ALL SELECT l_suppkey, capability, 'declared_unused' FROM (SELECT * FROM said EXCEPT SELECT * FROM used) WHERE capability IN (SELECT capability FROM known)""",
     "shady_links": " UNION ALL ".join(f"SELECT page_id, '{n}' AS pattern FROM pages WHERE regexp_matches(url, '{p}')" for n, p in LINK_PATTERNS),
     "secret_literals": f"""WITH {LINES_SQL} SELECT doc_id, count(*) AS n, min(line_no) AS first_line FROM held
         WHERE regexp_matches(line, '(?i)token = "[0-9a-f]{{16,}}"') GROUP BY doc_id""",
