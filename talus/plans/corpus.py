@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talus.functions import text
@@ -44,8 +45,11 @@ def incident_range_join(spark, sf_dir):
 
 def patch_suggestions(spark, sf_dir):
     """A rename to the nearest known name, else removal; the first patch of each target."""
-    missing = _parts(spark, sf_dir).distinct()
-    near = names.nearest_known(missing, _corpus(spark, sf_dir))
+    return _patches(_parts(spark, sf_dir).distinct(), _corpus(spark, sf_dir))
+
+
+def _patches(missing, corpus):
+    near = names.nearest_known(missing, corpus)
     out = missing.join(near, "name", "left").select(
         "name", F.when(F.col("known").isNotNull(), "rename").otherwise("remove").alias("action"), F.coalesce("known", F.lit("")).alias("target")
     )
@@ -70,6 +74,39 @@ def transitive_closure(spark, sf_dir):
     return graph.closure(nodes.where("node % 50 = 1"), edges)
 
 
+def typosquat_pairs_whole(spark, sf_dir):
+    """All distinct part names against all of them."""
+    return names.confusables(_parts(spark, sf_dir), _parts(spark, sf_dir))
+
+
+def nearest_known_whole(spark, sf_dir):
+    return names.nearest_known(_parts(spark, sf_dir), _parts(spark, sf_dir))
+
+
+def patch_suggestions_whole(spark, sf_dir):
+    return _patches(_parts(spark, sf_dir).distinct(), _parts(spark, sf_dir))
+
+
+def _graph(spark, sf_dir):
+    """All nodes, and an edge p -> (7p + 3) % N from each; the keys of part run from 0."""
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
+    n = nodes.count()
+    return nodes, nodes.select(F.col("node").alias("src"), ((F.col("node") * 7 + 3) % n).alias("dst"))
+
+
+def bfs_depth_whole(spark, sf_dir):
+    """Depths in the whole graph; the first part of each brand is a direct dependency."""
+    nodes, edges = _graph(spark, sf_dir)
+    direct = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("node")).select("node")
+    return graph.depths(nodes, edges, direct, hops=8)
+
+
+def transitive_closure_whole(spark, sf_dir):
+    """Everything that each node reaches."""
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.closure_by_doubling(nodes, edges)
+
+
 def version_history(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     return history.versions(orders.select(F.col("o_custkey").alias("package"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("released")))
@@ -91,6 +128,24 @@ def manifest_hash_verify(spark, sf_dir):
     return compare.mismatched(declared, local)
 
 
+def _whole_tree(spark, sf_dir, source):
+    """Every document of a source: its place by doc_id is the path, its hash stands for the content."""
+    docs = table(spark, sf_dir, "documents").where(F.col("source") == source)
+    held = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content"))
+    place = F.row_number().over(Window.partitionBy(F.lit(source)).orderBy("doc_id", "content"))
+    return held.select(place.cast("string").alias("path"), "content")
+
+
+def file_set_diff_whole(spark, sf_dir):
+    return compare.file_diff(_whole_tree(spark, sf_dir, "src0"), _whole_tree(spark, sf_dir, "src1"))
+
+
+def manifest_hash_verify_whole(spark, sf_dir):
+    declared = _whole_tree(spark, sf_dir, "src0").select("path", F.col("content").alias("declared_hash"))
+    local = _whole_tree(spark, sf_dir, "src1").select("path", F.col("content").alias("local_hash"))
+    return compare.mismatched(declared, local)
+
+
 def module_set_diff(spark, sf_dir):
     """What each supplier ships newly or no longer, before and after the middle of the orders."""
     items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber")
@@ -192,7 +247,8 @@ QUERIES = {
     for f in (
         typosquat_pairs, nearest_known, phantom_names, incident_range_join, patch_suggestions, bfs_depth, transitive_closure,
         version_history, file_set_diff, manifest_hash_verify, module_set_diff, delta_signals, import_density, capability_mismatch,
-        capability_mismatch_whole,
+        capability_mismatch_whole, typosquat_pairs_whole, nearest_known_whole, patch_suggestions_whole, bfs_depth_whole,
+        transitive_closure_whole, file_set_diff_whole, manifest_hash_verify_whole,
         shady_links, secret_literals, high_entropy_text, decode_eval_cooccurrence, metadata_penalties, pre_install_assessment,
         search_substring, parse_judgment,
     )
@@ -208,6 +264,12 @@ nodes AS (SELECT p_partkey - 1 AS node FROM part), edges AS (
 TREES_SQL = """
 trees AS (SELECT source, CAST(n_chars % 97 AS VARCHAR) AS path, sha256(arg_max(text, doc_id)) AS hash FROM documents WHERE source IN ('src0', 'src1') GROUP BY 1, 2),
 a AS (SELECT path, hash AS old_hash FROM trees WHERE source = 'src0'), b AS (SELECT path, hash AS new_hash FROM trees WHERE source = 'src1')"""
+WHOLE_NAMES_SQL = "names AS (SELECT DISTINCT p_name AS name FROM part), known AS (SELECT name AS known FROM names)"
+WHOLE_GRAPH_SQL = "edges AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS dst FROM part)"
+WHOLE_TREES_SQL = """
+trees AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id, sha256(coalesce(text, ''))) AS VARCHAR) AS path, sha256(coalesce(text, '')) AS hash
+          FROM documents WHERE source IN ('src0', 'src1')),
+a AS (SELECT path, hash AS old_hash FROM trees WHERE source = 'src0'), b AS (SELECT path, hash AS new_hash FROM trees WHERE source = 'src1')"""
 DELTA_SQL = """
 a AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_linenumber <= 3), b AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_linenumber > 3),
 delta AS (SELECT coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, count(*) FILTER (a.l_partkey IS NULL) AS added, count(*) FILTER (b.l_partkey IS NULL) AS removed,
@@ -271,3 +333,24 @@ ORACLES = {
     "search_substring": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 're')",
     "parse_judgment": "SELECT conv_id, CASE WHEN arg_max(role, turn) = 'user' THEN 'confirmed' ELSE 'refuted' END AS verdict, count(*) AS turns FROM conversations GROUP BY conv_id",
 }
+
+ORACLES |= {
+    "typosquat_pairs_whole": f"""WITH {WHOLE_NAMES_SQL}, pairs AS (
+        SELECT name, known, CASE WHEN levenshtein(name, known) = 1 THEN 'edit' WHEN length(name) = length(known) AND levenshtein(name, known) = 2 AND damerau_levenshtein(name, known) = 1 THEN 'swap'
+          WHEN regexp_replace(name, '[-_. ]', '', 'g') = regexp_replace(known, '[-_. ]', '', 'g') THEN 'separator' END AS kind
+        FROM names, known WHERE name <> known AND abs(length(name) - length(known)) <= 1) SELECT * FROM pairs WHERE kind IS NOT NULL""",
+    "nearest_known_whole": f"""WITH {WHOLE_NAMES_SQL} SELECT name, arg_min(known, (levenshtein(name, known), known)) AS known, CAST(min(levenshtein(name, known)) AS BIGINT) AS distance
+        FROM names, known WHERE name <> known AND levenshtein(name, known) <= 2 GROUP BY name""",
+    "patch_suggestions_whole": f"""WITH {WHOLE_NAMES_SQL}, near AS (SELECT name, arg_min(known, (levenshtein(name, known), known)) AS known FROM names, known
+        WHERE name <> known AND levenshtein(name, known) <= 2 GROUP BY name)
+        SELECT names.name, CASE WHEN known IS NULL THEN 'remove' ELSE 'rename' END AS action, coalesce(known, '') AS target FROM names LEFT JOIN near ON names.name = near.name""",
+    "bfs_depth_whole": f"""WITH RECURSIVE {WHOLE_GRAPH_SQL}, walk(node, depth) AS (
+        SELECT min(p_partkey), 1 FROM part GROUP BY p_brand UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < (SELECT count(*) FROM part))
+        SELECT p_partkey AS node, CAST(coalesce(min(depth), 1) AS BIGINT) AS depth FROM part LEFT JOIN walk ON p_partkey = node GROUP BY p_partkey""",
+    "transitive_closure_whole": f"""WITH RECURSIVE {WHOLE_GRAPH_SQL}, walk(root, node) AS (
+        SELECT p_partkey, p_partkey FROM part UNION SELECT root, dst FROM walk JOIN edges ON src = node) SELECT root, node FROM walk WHERE root <> node""",
+    "file_set_diff_whole": f"""WITH {WHOLE_TREES_SQL} SELECT coalesce(a.path, b.path) AS path, CASE WHEN old_hash IS NULL THEN 'added' WHEN new_hash IS NULL THEN 'removed'
+        WHEN old_hash <> new_hash THEN 'modified' ELSE 'same' END AS status FROM a FULL JOIN b ON a.path = b.path""",
+    "manifest_hash_verify_whole": f"""WITH {WHOLE_TREES_SQL} SELECT a.path, CASE WHEN new_hash IS NULL THEN 'missing' ELSE 'mismatch' END AS problem
+        FROM a LEFT JOIN b ON a.path = b.path WHERE new_hash IS NULL OR new_hash <> old_hash""",
+}

@@ -1,7 +1,10 @@
+import random
+
 import __spark_entry__
 import duckdb
 
 from talus.operators import compare
+from talus.operators.graph import closure_by_doubling, depths
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,3 +34,40 @@ def test_capabilities_of_every_supplier(spark):
     assert got == oracle("capability_mismatch_whole", ["lineitem", "orders"])
     assert {p for _, _, p in got} == {"undeclared_use", "declared_unused", "unknown"}
     assert {s for s, _, _ in got} == set(range(min(s for s, _, _ in got), max(s for s, _, _ in got) + 1)) and len({s for s, _, _ in got}) == 10
+
+
+def test_names_graph_and_files_are_whole(spark):
+    tables = ["part", "documents"]
+    got = {n: rows(spark, n) for n in ("typosquat_pairs_whole", "nearest_known_whole", "patch_suggestions_whole", "transitive_closure_whole", "file_set_diff_whole", "manifest_hash_verify_whole")}
+    assert all(x == oracle(n, tables) for n, x in got.items())
+    held = duckdb.sql(f"SELECT count(*) FROM '{DATA}/documents.parquet' WHERE source IN ('src0', 'src1') GROUP BY source").fetchall()
+    assert len(got["file_set_diff_whole"]) == max(n for n, in held)
+    pairs = {(a, b) for a, b, _ in got["typosquat_pairs_whole"]}
+    assert pairs == {(b, a) for a, b in pairs}
+    # every part is a root that reaches something
+    nodes = duckdb.sql(f"SELECT count(*) FROM '{DATA}/part.parquet'").fetchall()[0][0]
+    assert len({r for r, _ in got["transitive_closure_whole"]}) == nodes
+
+
+def test_many_hops_a_round_and_doubling(spark):
+    r = random.Random(6)
+    pairs = [(i, i + 1) for i in range(21)] + [(r.randrange(40), r.randrange(40)) for _ in range(25)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    nodes = spark.range(45).withColumnRenamed("id", "node")
+    direct = nodes.where("node in (0, 30)")
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+
+    def walk(starts):
+        found, new, depth = dict.fromkeys(starts, 1), set(starts), 1
+        while new:
+            depth += 1
+            new = {b for a in new for b in after.get(a, ()) if b not in found}
+            found |= dict.fromkeys(new, depth)
+        return found
+
+    reached = walk([0, 30])
+    assert {x.node: x.depth for x in depths(nodes, edges, direct, hops=3).collect()} == {i: reached.get(i, 1) for i in range(45)}
+    want = {(i, j) for i in range(45) for j in walk([i]) if i != j}
+    assert {tuple(x) for x in closure_by_doubling(nodes, edges).collect()} == want
