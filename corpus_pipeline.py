@@ -24,8 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that repeat an earlier one; a document left without any text goes."""
-    kept = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    """Texts without lines that repeat an earlier one, exactly at any length; a document left without any text goes."""
+    kept = dedup_lines(docs, exact=1).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", chars).select(*docs.columns)
 

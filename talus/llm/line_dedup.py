@@ -2,7 +2,8 @@
 
 DataFrame functions only. A line of at least ``least`` characters goes when an earlier line, by
 (doc_id, line number), equals it or is one edit away: a character more, fewer or other. The earliest
-stays, so every removed line has an earlier neighbour.
+stays, so every removed line has an earlier neighbour. Lines of ``exact`` to ``least`` characters go
+when an earlier line equals them.
 
 Equal lines are first reduced to one. A line and its neighbour agree in one of two halves, and in
 one half of what is left, so the lines that share no such part with another are done. For the others
@@ -11,7 +12,7 @@ with the shared parts, and equal variants meet: at the same place in lines of on
 character), or as a whole line and a variant of a longer one. A group of equal variants is compared
 with its earliest line alone, which decides for all of it, and the pair is verified by edit distance.
 
-Defined cases: a null text has no lines and stays null; blank and shorter lines stay; rows that
+Defined cases: a null text has no lines and stays null; blank lines and those below both lengths stay; rows that
 repeat both doc_id and text count as one document and get the same result; a null doc_id is later
 than all others; other columns are kept.
 """
@@ -52,19 +53,22 @@ def _part_key(line: Column, length: Column, base: Column, path: str) -> Column:
     return F.xxhash64(base, F.lit(path), F.left(line, left), F.right(line, right))
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
+def _lines(docs: DataFrame, least: int, exact: int) -> DataFrame:
     """key columns of each document and (at, line) of its lines that take part."""
     parts = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
-    long = F.filter(parts, lambda s: (F.char_length(s["line"]) >= least) & (F.trim(s["line"]) != ""))
+    takes = lambda x: (F.char_length(x) >= least) & (F.trim(x) != "")
+    if exact < least:
+        takes = lambda x: (F.char_length(x) >= exact) & F.when(F.char_length(x) >= least, F.trim(x) != "").otherwise(x.rlike(r"\S"))
+    long = F.filter(parts, lambda s: takes(s["line"]))
     return docs.select("doc", "text_key", F.inline(long))
 
 
-def _indexed(docs: DataFrame, least: int) -> DataFrame:
-    """doc, text_key, at, a, b (the line's two hashes), n, and its four half keys."""
+def _indexed(docs: DataFrame, least: int, exact: int) -> DataFrame:
+    """doc, text_key, at, a, b (the line's two hashes), and its four half keys, null below ``least``."""
     line = F.col("line")
-    held = _lines(docs, least).withColumn("n", F.char_length("line"))
+    held = _lines(docs, least, exact).withColumn("n", F.char_length("line"))
     keys = [_part_key(line, F.col("n"), base, path) for base in (F.col("n"), F.col("n") - 1) for path in "ps"]
-    return held.select("doc", "text_key", "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.array(*keys).alias("halves"))
+    return held.select("doc", "text_key", "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.when(F.col("n") >= least, F.array(*keys)).alias("halves"))
 
 
 def _sharing(rows: DataFrame, keys: str, by: list[str]) -> DataFrame:
@@ -111,9 +115,9 @@ def _neighbours(lines: DataFrame) -> DataFrame:
     return pairs.join(texts, ["a", "b"]).join(other, ["la", "lb"]).where(near.between(0, 1)).select("a", "b").distinct()
 
 
-def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def removed_lines(docs: DataFrame, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """doc, text_key, gone (numbers of the removed lines) for each document that loses any."""
-    lines = written(_indexed(docs, least), "lines")
+    lines = written(_indexed(docs, least, least if exact is None else exact), "lines")
     first = F.struct("doc", "text_key", "at")
     kept = written(
         lines.groupBy("a", "b").agg(F.min(first).alias("first"), F.max(first).alias("last"), F.first("halves").alias("halves")), "distinct"
@@ -133,12 +137,15 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return gone.groupBy("doc", "text_key").agg(F.collect_set("at").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``docs`` with its text without repeated lines, and the long columns n_lines and n_removed."""
+def dedup_lines(docs: DataFrame, least: int = LEAST, exact: int | None = None) -> DataFrame:
+    """``docs`` with its text without repeated lines, and the long columns n_lines and n_removed.
+
+    Exact repeats go from ``exact`` characters on (``least`` if none is given), near ones from ``least`` on.
+    """
     last = F.lit((1 << 63) - 1)
     keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), last)).withColumn("_key", F.xxhash64(F.col("text").cast("string")))
     base = keyed.select(F.col("_doc").alias("doc"), F.col("_key").alias("text_key"), F.col("text").cast("string").alias("text")).where("text is not null")
-    gone = written(removed_lines(base, least), "gone").select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
+    gone = written(removed_lines(base, least, exact), "gone").select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
     rows = F.split(F.col("text").cast("string"), "\n")
     every = F.sequence(F.lit(0), F.size(rows) - 1)
     kept = F.array_join(F.transform(F.array_except(every, F.col("_gone")), lambda i: F.get(rows, i)), "\n")

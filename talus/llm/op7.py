@@ -7,7 +7,15 @@ from talus.session import table
 
 
 def op7_deletion_neighbourhood(spark, sf_dir):
-    docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _hashed(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op7_deletion_neighbourhood_whole(spark, sf_dir):
+    """As above, and exact repeats of shorter lines go too."""
+    return _hashed(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact=1))
+
+
+def _hashed(docs):
     return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -42,5 +50,10 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
 FROM judged GROUP BY doc_id
 """
 
-QUERIES = {"op7_deletion_neighbourhood": op7_deletion_neighbourhood}
-ORACLES = {"op7_deletion_neighbourhood": SQL}
+#: Every line that isn't blank can repeat an earlier one; only long ones are compared up to an edit.
+WHOLE_SQL = SQL.replace(
+    "WHERE n >= 20 AND trim(line, ' ') <> ''", r"WHERE CASE WHEN n >= 20 THEN trim(line, ' ') <> '' ELSE regexp_matches(line, '\S') END"
+).replace("AS sides(side), LATERAL (SELECT length(line) - k AS base)", "AS sides(side), LATERAL (SELECT length(line) - k AS base) WHERE length(line) >= 20")
+
+QUERIES = {f.__name__: f for f in (op7_deletion_neighbourhood, op7_deletion_neighbourhood_whole)}
+ORACLES = {"op7_deletion_neighbourhood": SQL, "op7_deletion_neighbourhood_whole": WHOLE_SQL}
