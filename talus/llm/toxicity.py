@@ -12,7 +12,7 @@ Landmarks enter the decision only through sums of their quadruples, so a trained
 for each number of a quadruple of character classes, and a text is scored in one pass over its characters.
 
 Defined cases: a null or empty text has the lowest score a text can have; tokens above 24 characters
-are scored in overlapping runs; with labels of one class alone every score is 0 or 1; labels without
+are learned and scored in overlapping runs of 24, one from every twelfth character; with labels of one class alone every score is 0 or 1; labels without
 id or value are ignored, repeated ones count as toxic if any is; rows that repeat a doc_id are scored
 each by its text.
 """
@@ -68,8 +68,12 @@ class Tokens:
     run_token: np.ndarray
 
 
+def _joined(texts: list[str]) -> str:
+    return "\0" + "\0".join(t.replace("\0", " ") for t in texts) + "\0\0"
+
+
 def tokens(texts: list[str]) -> Tokens:
-    joined = "\0" + "\0".join(t.replace("\0", " ") for t in texts) + "\0\0"
+    joined = _joined(texts)
     points = np.frombuffer(joined.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     classes = class_table()[points]
     border = classes == BORDER
@@ -175,13 +179,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.best(texts) + self.shift, -30, 30)))
 
 
+def _pieces(texts: list[str]) -> Iterator[tuple[int, str]]:
+    """(text, word) of all tokens; those above 24 characters as the overlapping runs they are scored in."""
+    sizes = np.cumsum([len(x) for x in texts])
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + (1 << 18), "right")))
+        part = texts[lo:hi]
+        t = tokens(part)
+        joined = _joined(part).lower()
+        for text, start, end in zip((lo + t.text).tolist(), t.start.tolist(), t.end.tolist()):
+            for at in range(start, max(start + 1, end - RUN), RUN):
+                yield text, joined[at : min(end, at + 2 * RUN)].strip(" ")
+        lo = hi
+
+
 def _vocabulary(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
-    """(distinct tokens by name, each text's distinct tokens by number)."""
+    """(distinct words by name, each text's distinct words by number)."""
     number: dict[str, int] = {}
-    bags = []
-    for text in texts:
-        held = {number.setdefault(w[: 2 * RUN], len(number)) for w in text.replace("\0", " ").lower().split()}
-        bags.append(np.fromiter(held, np.int32, len(held)))
+    held: list[set[int]] = [set() for _ in texts]
+    for text, word in _pieces(texts):
+        held[text].add(number.setdefault(word, len(number)))
+    bags = [np.fromiter(x, np.int32, len(x)) for x in held]
     words = list(number)
     order = sorted(range(len(words)), key=words.__getitem__)
     rank = np.empty(len(words), np.int32)
@@ -246,8 +265,14 @@ def _kernel(words: list[str], kinds: np.ndarray, table: np.ndarray) -> np.ndarra
     return out
 
 
-def train(texts: list[str], labels: np.ndarray, landmarks: int = 192, rounds: int = 4, seed: int = 5) -> Model:
-    """Fit on labelled texts held in memory; the caller bounds them."""
+def train(
+    texts: list[str], labels: np.ndarray, landmarks: int = 192, rounds: int = 4, seed: int = 5, frequent_clean: int = 5000, hard_clean: int = 2500, drawn_clean: int = 20_000
+) -> Model:
+    """Fit on labelled texts held in memory; the caller bounds them.
+
+    Negative examples are the ``frequent_clean`` most frequent tokens, in each round the ``hard_clean``
+    that look most toxic, and ``drawn_clean`` drawn ones.
+    """
     r = np.random.default_rng(seed)
     empty = np.zeros(NUMBERS, np.float32)
     if not len(texts) or labels.all() or not labels.any():
@@ -278,15 +303,15 @@ def train(texts: list[str], labels: np.ndarray, landmarks: int = 192, rounds: in
     if not len(sure):
         return Model(empty, 0.0, 0.0, float(np.log(n_toxic / n_clean)))
     witness = sure
-    frequent = np.argsort(-clean, kind="stable")[:5000]
+    frequent = np.argsort(-clean, kind="stable")[:frequent_clean]
     mined = near = np.zeros(0, int)
     for _ in range(rounds):
         weight = toxic[witness]
         marks = witness[np.argsort(-weight, kind="stable")[: landmarks // 2]]
         negative = np.flatnonzero((clean > 0) & ~pure)
-        hard = negative[np.argsort(-lead[negative], kind="stable")[:2500]]
+        hard = negative[np.argsort(-lead[negative], kind="stable")[:hard_clean]]
         mined = np.union1d(mined, hard)
-        negative = np.unique(np.concatenate([mined, np.intersect1d(frequent, negative), negative[r.permutation(len(negative))[:20000]]]))
+        negative = np.unique(np.concatenate([mined, np.intersect1d(frequent, negative), negative[r.permutation(len(negative))[:drawn_clean]]]))
         # the common clean tokens that looked most toxic in any round
         common = frequent[clean[frequent] > 0]
         common = common[~pure[common]]
@@ -361,7 +386,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return held.mapInArrow(run, f"{schema}, score double")
 
 
-def fitted(docs: DataFrame, labels: DataFrame, most: int = 2000) -> Model:
-    """A model from the labelled documents whose fold of four is not 2; ``labels`` (doc_id, label)."""
+def fitted(docs: DataFrame, labels: DataFrame, most: int = 2000, **options) -> Model:
+    """A model from the labelled documents whose fold of four is not 2; ``labels`` (doc_id, label), ``options`` of ``train``."""
     allowed = labels.where(fold(F.col("doc_id"), 4) != 2)
-    return train(*labelled_sample(docs.select("doc_id", F.col("text").cast("string").alias("text")), allowed, most))
+    return train(*labelled_sample(docs.select("doc_id", F.col("text").cast("string").alias("text")), allowed, most), **options)
