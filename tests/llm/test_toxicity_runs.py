@@ -24,11 +24,11 @@ def corpus(n, seed, spelled):
 
 def test_every_character_of_a_token_is_learned():
     text = "short " + "".join(chr(97 + i % 26) + str(i) for i in range(40)) + " i d i o t İstanbul"
-    words, bags = _vocabulary([text, "", "short"])
+    words, word, before, of = _vocabulary([text, "", "short"])
     token = text.split()[1]
     assert {token[i : i + 24] for i in range(0, len(token) - 12, 12)} <= set(words) and "i d i o t" in words and "short" in words
     assert max(map(len, words)) <= 24 and any(w.endswith(token[-3:]) for w in words)
-    assert [len(b) for b in bags] == [len(words), 0, 1]
+    assert np.bincount(of, minlength=3).tolist() == [len(words), 0, 1] and before[0] == before[-1] != before[1]
 
 
 def test_insults_late_in_long_tokens_and_spelled_out_ones_teach():
