@@ -2,14 +2,16 @@
 
 Words (a run of spaces and what follows it) are taken once a batch and grouped by length, so that
 words of one length advance together as a matrix. Hashes of all their substrings probe the sorted
-piece keys, which gives a lattice of pieces. Models of type unigram take the path of the highest
-score: position by position, vectorised maxima store backpointers. Models of type BPE replay their
-merges on the same lattice, each step joining every word's best neighbouring pair, since the best
-path by score is not what such a model encodes. Characters without a piece become bytes.
+piece keys, which gives a lattice of pieces. Mode ``viterbi`` takes the path of the highest sum of
+piece scores: position by position, vectorised maxima store backpointers. That is what a model of
+type unigram encodes; for one of type BPE, which stores ranks, the scores are log-probabilities by rank. Mode ``merges`` replays the merges of a model of type BPE on the same lattice,
+each step joining every word's best neighbouring pair, and gives the library's ids for such a model.
+Characters without a piece become bytes.
 
 Defined cases: a null text is empty and has no pieces; decoding gives back every text except that
-U+2581, the model's own sign for a space, comes back as a space; words above LONG characters are
-encoded one by one; repeated rows are separate; other columns are kept.
+U+2581, the model's own sign for a space, comes back as a space; in mode ``merges`` words above LONG
+characters are encoded one by one, with the same ids; repeated rows are separate; other columns are
+kept in ``row``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talus.llm.buffers import BASE, BASE_INVERSE, U64, mix, powers, slices
 from talus.llm.language import Table
@@ -28,6 +32,7 @@ from talus.llm.language import Table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SIGN = 0x2581
 LONG = 128
+SHIFT = 100
 _B = U64(BASE)
 
 
@@ -50,14 +55,14 @@ class Vocabulary:
     pieces: list[str]
     scores: np.ndarray
     byte_ids: np.ndarray
-    unigram: bool
+    viterbi_path: bool
     table: Table
     longest: int
     body: np.ndarray
     offsets: np.ndarray
 
     @classmethod
-    def of(cls, pieces: list[str], scores: list[float], kinds: list[str], unigram: bool) -> Vocabulary:
+    def of(cls, pieces: list[str], scores: list[float], kinds: list[str], viterbi_path: bool = True) -> Vocabulary:
         """``kinds``: plain, byte or control for each piece."""
         byte_ids = np.full(256, -1, np.int32)
         plain, bodies = [], []
@@ -76,19 +81,20 @@ class Vocabulary:
             keys[at] = _hashes(np.stack([_points(pieces[plain[j]]) for j in at]))[:, -1]
         offsets = np.cumsum([0, *map(len, bodies)])
         body = np.frombuffer(b"".join(bodies), np.uint8)
-        return cls(pieces, np.array(scores, np.float64), byte_ids, unigram, Table(keys, np.array(plain, np.int32)), max(len(pieces[i]) for i in plain), body, offsets)
+        return cls(pieces, np.array(scores, np.float64), byte_ids, viterbi_path, Table(keys, np.array(plain, np.int32)), max(len(pieces[i]) for i in plain), body, offsets)
 
     @classmethod
-    def load(cls, path: str = MODEL) -> Vocabulary:
+    def load(cls, path: str = MODEL, mode: str = "viterbi") -> Vocabulary:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         n = range(m.get_piece_size())
         kinds = ["byte" if m.is_byte(i) else "control" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else "plain" for i in n]
-        # a unigram model scores by log-probability, a BPE one by the rank of the merge
-        scores = [m.get_score(i) for i in n]
-        ranks = all(float(s).is_integer() for s in scores)
-        return cls.of([m.id_to_piece(i) for i in n], scores, kinds, not ranks)
+        scores = np.array([m.get_score(i) for i in n])
+        if mode == "viterbi" and (scores == np.round(scores)).all():
+            # a BPE model stores ranks, which don't add up along a path: log-probabilities by their Zipf-Mandelbrot law
+            scores = -np.log(SHIFT + np.abs(scores))
+        return cls.of([m.id_to_piece(i) for i in n], scores, kinds, mode == "viterbi")
 
     def lattice(self, words: np.ndarray) -> np.ndarray:
         """(words, start, length - 1): the id of each substring, or -1."""
@@ -188,9 +194,9 @@ class Vocabulary:
         return self._ids
 
     def split(self, words: np.ndarray) -> np.ndarray:
-        if words.shape[1] > LONG and not self.unigram:
-            return np.stack([self.one_by_one(w) for w in words])
-        return self.viterbi(words) if self.unigram else self.merges(words)
+        if self.viterbi_path:
+            return self.viterbi(words)
+        return np.stack([self.one_by_one(w) for w in words]) if words.shape[1] > LONG else self.merges(words)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets)."""
@@ -270,17 +276,17 @@ class Vocabulary:
         return [body[a + 1 : b] if b > a else b"" for a, b in zip(ends[:-1], ends[1:])]
 
 
-def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """``docs`` with piece_ids array<int> and decoded (the text that they give back, as bytes)."""
-    vocabulary = Vocabulary.load(path)
-    names = docs.columns
+def encoded(docs: DataFrame, path: str = MODEL, mode: str = "viterbi") -> DataFrame:
+    """``row`` (all columns of ``docs``), piece_ids array<int> and decoded (the text that they give back, as bytes)."""
+    vocabulary = Vocabulary.load(path, mode)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 4 << 20):
             ids, offsets = vocabulary.encode([t or "" for t in part.column("text").to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
             back = pa.array(vocabulary.decode(ids, offsets), pa.binary())
-            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], lists, back], [*names, "piece_ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), lists, back], ["row", "piece_ids", "decoded"])
 
-    fields = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.mapInArrow(run, f"{fields}, piece_ids array<int>, decoded binary")
+    made = T.StructType().add("piece_ids", T.ArrayType(T.IntegerType())).add("decoded", T.BinaryType())
+    return held.mapInArrow(run, T.StructType([held.schema["row"], *made.fields]))

@@ -1,8 +1,10 @@
 """Nearest neighbours by largest inner product: probed lists with an adaptive dimension scan.
 
 Vectors gain one component that makes all norms equal, so the largest inner product is the nearest
-vector, and are rotated at random. Lists are k-means cells fitted on a bounded sample; every vector
-is put in its cell, every query visits as many cells as the sample needed for ``wanted`` recall.
+vector, and are rotated at random. Lists are k-means cells fitted on a bounded sample and grow with the
+root of the rows; every vector is put in its cell, every query visits as many cells as the sample needed
+for ``wanted`` recall, and more where those hold too few rows. Results come from the visited cells alone:
+the sample gives the cells, the number of visits and, by its rows within them, a first limit.
 Within a cell rotated vectors are read in column blocks, and after each block a hypothesis test on
 the partial distance abandons those that are too far to matter. Survivors are ranked by the exact
 inner product in double precision.
@@ -42,6 +44,7 @@ class Index:
     probes: int
     sample_ids: np.ndarray
     sample: np.ndarray
+    sample_cells: np.ndarray
     k: int
 
     def lift(self, x: np.ndarray, query: bool) -> np.ndarray:
@@ -83,28 +86,29 @@ def equal_classes(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     return reps.select("rep", "vector"), named.union(reps.where("n = 1").select("rep", F.col("rep").alias("vec_id")))
 
 
-def fit_index(reps: DataFrame, k: int, sample_rows: int = 16384, most_lists: int = 4096, wanted: float = 0.975, seed: int = 7) -> Index | None:
-    """Fit cells on at most about ``sample_rows`` vectors; None without vectors.
+def fit_index(reps: DataFrame, k: int, sample_rows: int = 16384, wanted: float = 0.985, seed: int = 7) -> Index | None:
+    """Fit a fourth of the root of n cells on about ``sample_rows`` vectors, at least four a cell; None without vectors.
 
     The probes are those that ``wanted`` of the sample's own near pairs need, at the depth that
-    corresponds to k among all vectors.
+    corresponds to k among all vectors. At most ``sample_rows`` of the sample go along as first limits.
     """
     norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     n, top = reps.agg(F.count("*"), F.max(norm)).first()
     if not n:
         return None
-    picked = reps.where(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / n)))
-    got = picked.select("rep", "vector").limit(2 * sample_rows).toArrow()
+    lists = max(1, int(np.sqrt(n) / 4))
+    rows = max(sample_rows, 4 * lists)
+    picked = reps.where(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / n)))
+    got = picked.select("rep", "vector").limit(2 * rows).toArrow()
     if not got.num_rows:
-        got = reps.select("rep", "vector").limit(sample_rows).toArrow()
+        got = reps.select("rep", "vector").limit(rows).toArrow()
     order = np.argsort(got.column("rep").to_numpy())
     ids, sample = got.column("rep").to_numpy()[order], matrix(got.column("vector"))[order]
     r = np.random.default_rng(seed)
     width = sample.shape[1] + 1
     rotation = np.linalg.qr(r.standard_normal((width, width)))[0]
-    index = Index(float(np.sqrt(top)), rotation, np.zeros((0, width)), 1, ids, sample, k)
+    index = Index(float(np.sqrt(top)), rotation, np.zeros((0, width)), 1, ids, sample, np.zeros(0, int), k)
     points = index.lift(sample, False)
-    lists = int(np.clip(np.sqrt(n) / 4, 1, most_lists))
     centres = points[r.permutation(len(points))[: min(lists, len(points))]].copy()
     for _ in range(8):
         cell = cells(points, centres)
@@ -124,11 +128,14 @@ def fit_index(reps: DataFrame, k: int, sample_rows: int = 16384, most_lists: int
     np.put_along_axis(place, ranked, np.arange(len(centres))[None, :].repeat(len(asked), 0), axis=1)
     need = np.sort(np.take_along_axis(place, cell[near], axis=1).ravel())
     probes = int(need[min(len(need) - 1, int(np.ceil(wanted * len(need))))]) + 1
-    return Index(index.norm, rotation, centres, probes, ids, sample, k)
+    limits = np.sort(r.permutation(len(sample))[:sample_rows])
+    return Index(index.norm, rotation, centres, probes, ids[limits], sample[limits], cell[limits], k)
 
 
 def cells(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return probed(points, centres, 1)[:, 0]
+    step = max(64, (8 << 20) // len(centres))
+    parts = [probed(points[lo : lo + step], centres, 1)[:, 0] for lo in range(0, len(points), step)]
+    return np.concatenate([np.zeros(0, int), *parts])
 
 
 def probed(points: np.ndarray, centres: np.ndarray, count: int) -> np.ndarray:
@@ -149,44 +156,39 @@ def _placed(index: Index):
     return run
 
 
-def _asked(index: Index):
-    """Queries with their cells, the best of the sample, and the k-th best score among its others.
+def _asked(index: Index, probes: int):
+    """Queries with their cells and the k-th best score among the sample's other rows in those cells.
 
-    The whole fit sample gives that bound: the closer it is, the fewer pairs the cells return.
-    The sample's vectors are candidates like any other: the bound is never below the true one, and
-    every query has k results even where its cells hold fewer.
+    That bound is never above what the cells themselves hold, so their scan finds k rows at least
+    wherever the sample has so many in them.
     """
-    pair = pa.struct([("rep", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(lo, 256) for lo in range(0, b.num_rows, 256)):
                 x, ids = matrix(part.column("vector")), part.column("vec_id").to_numpy()
-                near = probed(index.lift(x, True), index.centres, index.probes)
-                score = x @ index.sample.T
-                best = np.argsort(-score, axis=1, kind="stable")[:, : index.k + 1]
-                exact = np.einsum("ij,ikj->ik", x, index.sample[best])
-                seen = pa.StructArray.from_arrays([pa.array(index.sample_ids[best].ravel()), pa.array(exact.ravel())], fields=list(pair))
-                seen = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * best.shape[1]), seen)
-                score[ids[:, None] == index.sample_ids[None, :]] = -np.inf
+                near = probed(index.lift(x, True), index.centres, probes)
+                visited = np.zeros((len(x), len(index.centres)), bool)
+                np.put_along_axis(visited, near, True, axis=1)
+                score = np.where(visited[:, index.sample_cells] & (ids[:, None] != index.sample_ids[None, :]), x @ index.sample.T, -np.inf)
+                bound = np.full(len(x), -np.inf)
                 if score.shape[1] >= index.k:
                     bound = -np.partition(-score, index.k - 1, axis=1)[:, index.k - 1]
-                else:
-                    bound = np.full(len(x), -np.inf)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("vec_id"), part.column("vector"), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())), pa.array(bound), seen],
-                    ["query_id", "vector", "cells", "bound", "seen"],
+                    [part.column("vec_id"), part.column("vector"), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())), pa.array(bound)],
+                    ["vec_id", "vector", "cells", "bound"],
                 )
 
     return run
 
 
-def scan(query: np.ndarray, bound: np.ndarray, points: np.ndarray, k: int, error: float = 2.1) -> tuple[np.ndarray, np.ndarray]:
+def scan(query: np.ndarray, bound: np.ndarray, points: np.ndarray, k: int, error: float = 2.1, tally: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(query, point) pairs that may belong to the k nearest, by blocks of rotated columns.
 
     ``bound`` is each query's squared distance limit. After d of D columns the scaled partial
     distance estimates the whole one; a pair is abandoned once it exceeds the limit by the factor
     (1 + error / sqrt(d)) ** 2. The limit falls to the k-th nearest as chunks of points are done.
+    ``tally`` gathers (pairs, pairs that reach the last block) for each chunk.
     """
     width = query.shape[1]
     limit = bound.copy()
@@ -199,13 +201,17 @@ def scan(query: np.ndarray, bound: np.ndarray, points: np.ndarray, k: int, error
         first = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
         q, p = np.nonzero(first * (width / d) <= limit[:, None] * (1 + error / np.sqrt(d)) ** 2)
         far = first[q, p]
+        reached = len(q) if d >= width else 0
         while d < width and len(q):
             e = min(d + BLOCK, width)
+            reached = len(q) if e == width else reached
             gap = query[q, d:e] - part[p, d:e]
             far = far + (gap * gap).sum(axis=1)
             d = e
             alive = far * (width / d) <= limit[q] * ((1 + error / np.sqrt(d)) ** 2 if d < width else 1 + 1e-5)
             q, p, far = q[alive], p[alive], far[alive]
+        if tally is not None:
+            tally.append((first.size, reached))
         if len(q):
             out_q.append(q)
             out_p.append(p + lo)
@@ -228,7 +234,7 @@ def _searched(index: Index):
         kinds = [pa.int64(), pa.int64(), pa.float64()]
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names)
-        ids, x = left.column("query_id").to_numpy(), matrix(left.column("vector"))
+        ids, x = left.column("vec_id").to_numpy(), matrix(left.column("vector"))
         reps, y = right.column("rep").to_numpy(), matrix(right.column("vector"))
         points = index.lift(y, False)
         found = []
@@ -264,31 +270,45 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec
     reps, members = equal_classes(vectors, k + 1)
     index = fit_index(reps, k, **fit)
     placed = written(reps.mapInArrow(_placed(index), "rep long, vector array<double>, cell int"), "cells")
-    asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(
-        _asked(index), "query_id long, vector array<double>, cells array<int>, bound double, seen array<struct<rep:long,score:double>>"
-    )
-    asked = written(asked, "asked")
-    seen = asked.select("query_id", F.inline("seen"))
-    asked = asked.select("query_id", "vector", "bound", F.explode("cells").alias("cell"))
     # one count a cell: bounded by the number of lists
     sizes = dict(placed.groupBy("cell").count().collect())
+    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
+    results, probes = None, index.probes
+    while True:
+        asked = written(queries.mapInArrow(_asked(index, probes), "vec_id long, vector array<double>, cells array<int>, bound double"), "asked")
+        got = written(_visited(placed, asked, members, index, sizes), "near")
+        if probes >= len(index.centres):
+            return got if results is None else results.union(got)
+        # queries whose cells hold too few rows visit more
+        full = got.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+        queries = written(queries.join(full.withColumnRenamed("query_id", "vec_id"), "vec_id", "left_anti"), "short")
+        kept = got.join(full, "query_id", "left_semi")
+        results = kept if results is None else results.union(kept)
+        if queries.isEmpty():
+            return results
+        probes = min(4 * probes, len(index.centres))
+
+
+def _visited(placed: DataFrame, asked: DataFrame, members: DataFrame, index: Index, sizes: dict[int, int]) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows within each query's cells."""
+    k = index.k
+    asked = asked.select("vec_id", "vector", "bound", F.explode("cells").alias("cell"))
     loads = dict(asked.groupBy("cell").count().collect())
-    cuts = spark.createDataFrame(
+    cuts = placed.sparkSession.createDataFrame(
         [(c, -(-sizes[c] // CELL_ROWS), -(-loads.get(c, 1) // QUERY_ROWS)) for c in sizes], "cell int, parts int, asks int"
     )
     own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     right = placed.join(F.broadcast(cuts), "cell").withColumn("part", own("rep", "parts")).withColumn("ask", each("asks"))
-    left = asked.join(F.broadcast(cuts), "cell").withColumn("ask", own("query_id", "asks")).withColumn("part", each("parts"))
+    left = asked.join(F.broadcast(cuts), "cell").withColumn("ask", own("vec_id", "asks")).withColumn("part", each("parts"))
     keys = ["cell", "part", "ask"]
     found = (
-        left.select(*keys, "query_id", "vector", "bound")
+        left.select(*keys, "vec_id", "vector", "bound")
         .groupBy(*keys)
         .cogroup(right.select(*keys, "rep", "vector").groupBy(*keys))
         .applyInArrow(_searched(index), "query_id long, rep long, score double")
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
-    found = found.union(seen).groupBy("query_id", "rep").agg(F.max("score").alias("score"))
     found = cut(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place"))
     named = found.join(members, "rep").where("vec_id <> query_id")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from talus.llm import op8
-from talus.llm.pieces import MODEL, Vocabulary
+from talus.llm.pieces import MODEL, Vocabulary, encoded
 
 sentencepiece = pytest.importorskip("sentencepiece")
 
@@ -17,7 +17,7 @@ def texts(seed):
 
 
 def test_equal_to_the_library_and_back():
-    v = Vocabulary.load()
+    v = Vocabulary.load(mode="merges")
     m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     given = texts(1)
     ids, offsets = v.encode(given)
@@ -51,3 +51,33 @@ def test_query(spark, tmp_path):
     got = op8.op8_sentencepiece(spark, str(tmp_path)).collect()
     assert len(got) == 5 and all(r.round_trip for r in got)
     assert {r.doc_id: r.n_pieces for r in got}[1] == 0
+
+
+def test_viterbi_on_the_stored_scores_and_back():
+    v = Vocabulary.load()
+    given = texts(3) + ["q" * 3000, "日本語" * 200]
+    ids, offsets = v.encode(given)
+    assert [b.decode() for b in v.decode(ids, offsets)] == given
+    known = {v.pieces[i]: v.scores[i] for i in v.table.values}
+    worst = float(v.scores.min()) - 10.0
+
+    def best(word):
+        held = [0.0]
+        for end in range(1, len(word) + 1):
+            ways = [held[at] + known[word[at:end]] for at in range(max(0, end - v.longest), end) if word[at:end] in known]
+            held.append(max([*ways, held[end - 1] + worst] if word[end - 1] not in known else ways))
+        return held[-1]
+
+    for t, (a, b) in zip(given, itertools.pairwise(offsets.tolist())):
+        if t and all(c == " " or c in known for c in t):
+            words = "".join(" " + t).replace(" ", "▁")
+            cuts = [i for i in range(len(words)) if words[i] == "▁" and (i == 0 or words[i - 1] != "▁")] + [len(words)]
+            assert abs(v.scores[ids[a:b]].sum() - sum(best(words[x:y]) for x, y in itertools.pairwise(cuts))) < 1e-3
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "the thing", [5], b"x", "r"), (2, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece_ids array<int>, decoded binary, `row` string")
+    got = encoded(docs).orderBy("row.doc_id").collect()
+    assert [r.row.piece_ids for r in got] == [[5], None] and bytes(got[0].decoded) == b"the thing" and got[1].piece_ids == []
+    assert encoded(docs.limit(0)).collect() == []

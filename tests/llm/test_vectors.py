@@ -1,6 +1,6 @@
 import numpy as np
 
-from talus.llm.vectors import nearest
+from talus.llm.vectors import nearest, scan
 
 
 def brute(rows, k, every):
@@ -14,11 +14,11 @@ def brute(rows, k, every):
     return out
 
 
-def recall(spark, rows, k=20, every=10):
+def recall(spark, rows, k=20, every=10, **fit):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     rows = [(i, [float(np.float32(c)) for c in v]) for i, v in rows]
     got = {}
-    for r in nearest(frame, k, every).orderBy("query_id", "rank").collect():
+    for r in nearest(frame, k, every, **fit).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     want = brute(rows, k, every)
     exact = {i: np.array(v) for i, v in rows}
@@ -50,3 +50,33 @@ def test_defined_cases(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     assert [tuple(r) for r in nearest(frame, 20, 20).collect()] == [(0, 1, 3, 2.0), (0, 2, 6, -1.0)]
     assert nearest(frame.limit(0), 20, 20).collect() == []
+
+
+def test_recall_with_a_sample_of_a_twentieth(spark):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((6000, 48))
+    assert recall(spark, [(i, list(map(float, v))) for i, v in enumerate(x)], every=40, sample_rows=300) >= 0.9
+    centres = 3 * r.standard_normal((40, 48))
+    x = centres[r.integers(0, 40, 6000)] + r.standard_normal((6000, 48))
+    assert recall(spark, [(i, list(map(float, v))) for i, v in enumerate(x)], every=40, sample_rows=300) >= 0.9
+
+
+def test_queries_in_small_cells_visit_more(spark):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((400, 6))
+    x[:3] = x[:3] / 100 + np.eye(6)[0] * 50
+    assert recall(spark, [(i, list(map(float, v))) for i, v in enumerate(x)], every=1, wanted=0.0) >= 0.3
+
+
+def test_most_pairs_are_abandoned_before_the_last_block():
+    r = np.random.default_rng(7)
+    centres = 2 * r.standard_normal((10, 64))
+    points = (centres[r.integers(0, 10, 4000)] + r.standard_normal((4000, 64))).astype(np.float32)
+    counts = []
+    q, p = scan(points[:100], np.full(100, np.inf, np.float32), points, 20, tally=counts)
+    pairs, reached = map(sum, zip(*counts[1:]))
+    assert reached < 0.3 * pairs
+    far = ((points[:100, None] - points[None, :]) ** 2).sum(axis=2)
+    near = np.argsort(far, axis=1)[:, :20]
+    found = set(zip(q.tolist(), p.tolist()))
+    assert np.mean([(i, j) in found for i in range(100) for j in near[i].tolist()]) >= 0.97
