@@ -45,8 +45,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their piece_ids."""
-    return pieces.encoded(docs).drop("decoded")
+    """The documents with their piece_ids; a column of that name gives way."""
+    return pieces.encoded(docs).select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() != "piece_ids"], "piece_ids")
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]
