@@ -14,7 +14,7 @@ with its earliest line alone, which decides for all of it, and the pair is verif
 
 Defined cases: a null text has no lines and stays null; blank lines and those below both lengths stay; rows that
 repeat both doc_id and text count as one document and get the same result; a null doc_id is later
-than all others; other columns are kept.
+than all others; other columns are kept in ``row``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,15 +25,15 @@ from pyspark.sql import functions as F
 from talus.session import written
 
 LEAST = 20
-#: Per-document tables of up to so many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Per-document tables of up to so many bytes are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 _SALTS = 16
 _PATHS = ("pp", "ps", "sp", "ss")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast ``df`` if its rows are few enough, else leave the join to a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, each: Column) -> DataFrame:
+    """Broadcast ``df`` if its rows of ``each`` bytes are few enough together, else leave the join to a shuffle."""
+    return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def _parts(length: Column, base: Column, path: str) -> tuple[Column, Column]:
@@ -125,7 +125,7 @@ def removed_lines(docs: DataFrame, least: int = LEAST, exact: int | None = None)
     likely = _sharing(kept, "halves", ["a", "b", "first"]).select("a", "b", "first").distinct()
     places = likely.groupBy("first.doc", "first.text_key").agg(F.collect_list(F.struct("first.at", "a", "b", "first")).alias("wanted"))
     places = written(places, "places")
-    found = docs.join(small(places), ["doc", "text_key"])
+    found = docs.join(small(places, 48 + 64 * F.size("wanted")), ["doc", "text_key"])
     rows = F.split("text", "\n")
     texts = found.select(F.inline(F.transform("wanted", lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), w["first"].alias("first"), F.get(rows, w["at"]).alias("line")))))
     texts = written(texts.dropDuplicates(["a", "b"]), "texts", "lz4")
@@ -138,19 +138,26 @@ def removed_lines(docs: DataFrame, least: int = LEAST, exact: int | None = None)
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, exact: int | None = None) -> DataFrame:
-    """``docs`` with its text without repeated lines, and the long columns n_lines and n_removed.
+    """``row`` (all columns of ``docs``, its text without repeated lines), and the long n_lines and n_removed.
 
     Exact repeats go from ``exact`` characters on (``least`` if none is given), near ones from ``least`` on.
     """
     last = F.lit((1 << 63) - 1)
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), last)).withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    base = keyed.select(F.col("_doc").alias("doc"), F.col("_key").alias("text_key"), F.col("text").cast("string").alias("text")).where("text is not null")
-    gone = written(removed_lines(base, least, exact), "gone").select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
-    rows = F.split(F.col("text").cast("string"), "\n")
+    text = F.col("text").cast("string")
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"),
+        F.xxhash64(text).alias("text_key"),
+        text.alias("text"),
+    )
+    base = keyed.select("doc", "text_key", "text").where("text is not null")
+    gone = written(removed_lines(base, least, exact), "gone")
+    rows = F.split("text", "\n")
     every = F.sequence(F.lit(0), F.size(rows) - 1)
-    kept = F.array_join(F.transform(F.array_except(every, F.col("_gone")), lambda i: F.get(rows, i)), "\n")
-    joined = keyed.join(small(gone), ["_doc", "_key"], "left")
-    counted = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(rows)).cast("long")).withColumn(
-        "n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
+    kept = F.array_join(F.transform(F.array_except(every, F.col("gone")), lambda i: F.get(rows, i)), "\n")
+    joined = keyed.join(small(gone, 48 + 4 * F.size("gone")), ["doc", "text_key"], "left")
+    return joined.select(
+        F.when(F.col("gone").isNull(), F.col("row")).otherwise(F.col("row").withField("text", kept)).alias("row"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(rows)).cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )
-    return counted.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_doc", "_key", "_gone")

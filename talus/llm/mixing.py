@@ -9,9 +9,9 @@ Running sums are taken in two levels (square-root many hash buckets per source,
 bucket), so a source with a third of all rows never meets in one task.
 
 Defined cases: a null or blank text has size 0, takes nothing and has no position; a null source is
-a source of its own, ordered last; repeated rows are separate documents; a null doc_id sorts first
-among its source; an empty table gives no rows; other columns are kept by ``mixed`` and ignored by
-``mix_plan``.
+a source of its own, ordered last; repeated rows are separate documents; documents without a doc_id
+are spread over their source by their text; an empty table gives no rows; other columns are kept by
+``mixed``, whatever their names, and ignored by ``mix_plan``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.session import cut
+from talus.session import cut, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = 3
@@ -80,26 +80,30 @@ def _with_sources(docs: DataFrame, sources: DataFrame) -> DataFrame:
 def demand_time(share: Column, tilt: Column) -> Column:
     """The time t at which the integral of 1 + tilt * (2t - 1) reaches ``share``."""
     curved = (F.sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * share) - (1 - tilt)) / (2 * tilt)
-    return F.when(tilt == 0, share).otherwise(curved)
+    # a falling schedule starts at minus zero
+    return F.when(tilt == 0, share).otherwise(curved + F.lit(0.0))
 
 
 def mix_plan(docs: DataFrame, repeats: int = REPEATS, tilts: tuple = TILTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, weight, position, row for every row of ``docs``.
+    """doc_id, text_key, size, source_size, target, taken, weight, position, start, tilt for every row of ``docs``.
 
     Full passes over a source come first, then documents in order until its target is met; the last
     one is taken up to the word that meets it. ``position`` is the time of the first copy.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    text = F.col("text").cast("string")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_key"))
+    # words are counted once; all that follows reads this narrow table
+    base = written(base, "sizes")
     sources = cut(source_targets(base.select("source", "size"), repeats))
     held = _with_sources(base.withColumn("key", _key(F.col("source"))), sources).withColumn(
-        "order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+        "order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text_key").cast("string"))).cast("binary"))
     )
     point = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
     held = held.withColumn("bucket", (point * F.col("buckets") / F.lit(1 << 32)).cast("long"))
     sums = held.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("key", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
-    within = Window.partitionBy("key", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("key", "bucket").orderBy("order", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["key", "bucket"])
     start = F.col("before") + F.col("inside")
     goal = F.floor("target").cast("long")
@@ -109,9 +113,9 @@ def mix_plan(docs: DataFrame, repeats: int = REPEATS, tilts: tuple = TILTS) -> D
     taken = (passes * F.col("size") + part).cast("long")
     tilt = F.element_at(F.array(*map(F.lit, tilts)), F.col("weight").cast("int"))
     return held.select(
-        "doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("weight").cast("long").alias("weight"), start.alias("start"), tilt.alias("tilt")
+        "doc_id", "text_key", "size", "source_size", "target", taken.alias("taken"), F.col("weight").cast("long").alias("weight"), "key", start.alias("start"), tilt.alias("tilt")
     ).select(
-        "doc_id", "size", "source_size", "target", "taken", "weight",
+        "doc_id", "text_key", "size", "source_size", "target", "taken", "weight", "key",
         F.when(F.col("taken") > 0, demand_time(F.col("start") / F.col("target"), F.col("tilt"))).alias("position"),
         "start", "tilt",
     )
@@ -126,29 +130,37 @@ def mixed(docs: DataFrame, repeats: int = REPEATS, tilts: tuple = TILTS) -> Data
     """The mix itself: a row of ``docs`` for every copy taken, range-sorted by training position.
 
     The copy that meets its source's target holds only its first words. Rows that repeat a doc_id
-    are told apart by their size and then by their text, so each keeps its own copies.
+    are told apart by their text and source, so each keeps its own copies.
     """
-    columns = docs.columns
     plan = mix_plan(docs, repeats, tilts).where("taken > 0").withColumn("whole", F.floor(F.col("taken") / F.col("size")).cast("int"))
     copies = F.when(F.col("taken") % F.col("size") > 0, F.col("whole") + 1).otherwise(F.col("whole")) - 1
     plan = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), copies)))
+    same = ["doc", "text_key", "source_key"]
     plan = plan.select(
-        F.col("doc_id").alias("_doc"),
-        F.col("size").alias("_size"),
-        F.col("copy").alias("_copy"),
-        F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")).alias("_words"),
-        demand_time((F.col("start") + F.col("copy") * F.col("source_size")) / F.col("target"), F.col("tilt")).alias("_position"),
+        F.col("doc_id").alias("doc"),
+        "text_key",
+        F.col("key").alias("source_key"),
+        "copy",
+        "size",
+        F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")).alias("words"),
+        demand_time((F.col("start") + F.col("copy") * F.col("source_size")) / F.col("target"), F.col("tilt")).alias("position"),
     )
-    # one row a document and size: rows repeated in full have equal texts and share their plan in order
-    spot = Window.partitionBy("_doc", "_size", "_copy").orderBy("_position")
-    plan = plan.withColumn("_turn", F.row_number().over(spot))
-    named = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_size", word_count(F.col("text").cast("string")))
-    named = named.withColumn("_turn", F.row_number().over(Window.partitionBy("_doc", "_size").orderBy(F.xxhash64("text"))))
-    same = [F.col("a._doc").eqNullSafe(F.col("b._doc")), F.col("a._size") == F.col("b._size"), F.col("a._turn") == F.col("b._turn")]
-    out = named.alias("a").join(plan.alias("b"), same)
-    pieces = F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("_words") < F.col("a._size"), F.array_join(F.slice(pieces, 1, F.greatest(F.lit(1), F.col("_words").cast("int"))), "")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.orderBy("_position", F.col("a._doc"), "_copy").select(*[F.col(f"`{c}`") for c in columns])
+    # rows repeated in full share their plan in order
+    plan = plan.withColumn("turn", F.row_number().over(Window.partitionBy(*same, "copy").orderBy("position")))
+    text = F.col("text").cast("string")
+    named = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("doc"),
+        F.xxhash64(text).alias("text_key"),
+        _key(F.col("source").cast("string")).alias("source_key"),
+    )
+    named = named.withColumn("turn", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))))
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) if c == "doc" else F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*same, "turn"]]
+    out = named.alias("a").join(plan.alias("b"), on).select("row", "size", "words", "position", F.col("a.doc").alias("doc"), "copy")
+    pieces = F.regexp_extract_all(F.col("row.text").cast("string"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    first = F.array_join(F.slice(pieces, 1, F.greatest(F.lit(1), F.col("words").cast("int"))), "")
+    cut_short = F.col("words") < F.col("size")
+    row = F.when(cut_short, F.col("row").withField("text", first)).otherwise(F.col("row"))
+    if "n_chars" in docs.columns:
+        row = F.when(cut_short, F.col("row").withField("text", first).withField("n_chars", F.char_length(first).cast("long"))).otherwise(F.col("row"))
+    return out.select(row.alias("row"), "position", "doc", "copy").orderBy("position", "doc", "copy").select("row.*")

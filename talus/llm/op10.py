@@ -5,7 +5,7 @@ from talus.session import table
 
 
 def op10_curriculum_mix(spark, sf_dir):
-    return by_position(mix_plan(table(spark, sf_dir, "documents")).drop("start", "tilt"))
+    return by_position(mix_plan(table(spark, sf_dir, "documents")).drop("start", "tilt", "text_key", "key"))
 
 
 SQL = r"""

@@ -16,7 +16,7 @@ def op7_deletion_neighbourhood_whole(spark, sf_dir):
 
 
 def _hashed(docs):
-    return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return docs.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = r"""

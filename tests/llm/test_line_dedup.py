@@ -50,7 +50,7 @@ def corpus(seed):
 def test_equal_to_brute_force(spark):
     rows = corpus(1)
     frame = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, gone string").repartition(3)
-    out = dedup_lines(frame)
+    out = dedup_lines(frame).select("row.*", "n_lines", "n_removed")
     assert out.columns == ["doc_id", "text", "gone", "n_lines", "n_removed"]
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in out.collect()} == brute(rows)
 
@@ -58,6 +58,13 @@ def test_equal_to_brute_force(spark):
 def test_null_ids_come_last_and_repeated_rows_agree(spark):
     line = "a line that is long enough to count"
     frame = spark.createDataFrame([(None, line), (5, line), (5, line), (6, line + "!\nother words of a second line")], "doc_id long, text string")
-    got = sorted((r.doc_id or 0, r.text) for r in dedup_lines(frame).collect())
+    got = sorted((r.doc_id or 0, r.text) for r in dedup_lines(frame).select("row.*").collect())
     assert got == [(0, ""), (5, line), (5, line), (6, "other words of a second line")]
     assert dedup_lines(frame.limit(0)).collect() == []
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "a line that is long enough to count", 9, "x", "y", "z", 7), (2, "a line that is long enough to count!\nz", 8, "x", "y", "z", 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_removed long, _key string, doc string, `row` string, gone int")
+    got = dedup_lines(frame).orderBy("row.doc_id").collect()
+    assert [tuple(r.row) for r in got] == [rows[0], (2, "z", *rows[1][2:])] and [r.n_removed for r in got] == [0, 1]

@@ -60,3 +60,13 @@ def test_the_mix_holds_what_the_plan_takes(spark):
         copies[r.doc_id] += len(r.text.split())
     assert {k: v for k, v in plan.items() if v} == dict(copies)
     assert mixed(frame.limit(0)).collect() == [] and mix_plan(frame.limit(0)).collect() == []
+
+
+def test_null_ids_are_spread_and_columns_of_any_name_stay(spark):
+    rows = [(None, f"w{i} " * 50, "a", "d", 1, 2.0) for i in range(60)] + [(i, "x " * 50, "a", "d", 1, 2.0) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _doc string, words int, position double")
+    plan = [r for r in mix_plan(frame).collect() if r.doc_id is None]
+    assert len({r.position for r in plan}) == 60 and max(r.position for r in plan) - min(r.position for r in plan) > 0.5
+    got = mixed(frame)
+    assert got.columns == frame.columns and sorted(map(repr, got.collect())) == sorted(map(repr, frame.collect()))
+    assert all(str(r.position) != "-0.0" for r in plan)

@@ -29,3 +29,16 @@ def test_stages_keep_clean_documents_and_columns(spark, tmp_path):
     assert 500 not in lines and 1 in lines and None in lines
     assert all(x.piece_ids for x in seen["encode"] if x.text)
     assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == len(seen["encode"])
+
+
+def test_positions_follow_the_mix_and_empty_tables_pass(spark, tmp_path):
+    rows = [(i, f"word{i} " * 30 + "\n" + f"line {i} of its own and long", "en", f"s{i % 3}", 9) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    mixed = corpus_pipeline.mix(spark, frame, "").collect()
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").orderBy("position").collect()
+    assert [r.doc_id for r in got] == [r.doc_id for r in mixed] and len({r.position for r in got}) == len(got)
+    frame.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
