@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Tables that ``written`` made and that still stand.
+_standing: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +50,24 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/talus-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
+    _standing.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def tables_written() -> int:
+    """How many tables of ``written`` stand: a mark for ``drop_written``."""
+    return len(_standing)
+
+
+def drop_written(spark: SparkSession, since: int) -> None:
+    """Remove the tables that ``written`` made after the mark ``since``, but for the newest."""
+    for path in _standing[since:-1]:
+        files, where = _file_system(spark, path)
+        files.delete(where, True)
+    del _standing[since:-1]
