@@ -23,6 +23,7 @@ each by its text; other columns are kept in ``row``, whatever their names.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -275,14 +276,14 @@ def _words(texts: list[str]) -> Iterator[tuple[int, str]]:
 def _vocabulary(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(distinct words by name, and for each of their places the word, a hash of the three before it and the text)."""
     number: dict[str, int] = {}
-    word, text = [], []
+    word, text = array("i"), array("i")
     for t, w in _words(texts):
         word.append(number.setdefault(w, len(number)))
         text.append(t)
     words = sorted(number)
     rank = np.empty(len(words), np.int64)
     rank[[number[w] for w in words]] = np.arange(len(words))
-    word, text = rank[np.array(word, int)] if words else np.zeros(0, int), np.array(text, int)
+    word, text = rank[np.frombuffer(word, np.int32)] if words else np.zeros(0, int), np.array(text, np.int32)
     before = np.zeros(len(word), np.uint64)
     for back in (1, 2, 3):
         held = np.zeros(len(word), np.uint64)
@@ -391,6 +392,7 @@ def train(
     kinds_of = lambda key, side: np.bincount(word[side][np.unique(key[side], return_index=True)[1]], minlength=len(words))
     keys = [mix(mix(word.astype(np.uint64)) + x) for x in (before, text.astype(np.uint64))]
     toxic, clean = (np.minimum(*[kinds_of(key, side) for key in keys]).astype(float) for side in (labels[text], ~labels[text]))
+    del word, before, text, keys
     total = toxic + clean
     share = min(0.9, max(0.01, toxic.sum() / total.sum()))
     # evidence of a word's tie to toxic documents: the log-likelihood ratio of its counts
@@ -496,7 +498,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return held.mapInArrow(run, T.StructType([held.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, most: int = 2000, most_chars: int = 32 << 20, **options) -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, most: int = 2000, most_chars: int = 8 << 20, **options) -> Model:
     """A model from the labelled documents whose fold of four is not 2; ``labels`` (doc_id, label), ``options`` of ``train``.
 
     The sample, of ``most`` rows a class and ``most_chars`` characters, is gathered in one task.
@@ -505,7 +507,9 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = 2000, most_chars: int
     sample, shares = labelled_sample(docs.select("doc_id", F.col("text").cast("string").alias("text")), allowed, most, most_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(((r["doc_id"], r["text"] or "", r["label"] == 1) for b in batches for r in b.to_pylist()), key=lambda x: x[:2])
+        columns = pa.Table.from_batches(batches).to_pydict() if (batches := list(batches)) else {"doc_id": [], "text": [], "label": []}
+        rows = sorted(zip(columns["doc_id"], (t or "" for t in columns["text"]), (y == 1 for y in columns["label"])))
+        del columns
         model = train([t for _, t, _ in rows], np.array([y for *_, y in rows], bool), shares, **options)
         yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "curve": [[model.bias, model.slope, model.shift]]})
 

@@ -36,7 +36,10 @@ def test_positions_follow_the_mix_and_empty_tables_pass(spark, tmp_path):
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     frame.write.parquet(f"{tmp_path}/a/documents.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
-    mixed = corpus_pipeline.mix(spark, frame, "").collect()
+    kept = frame
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, kept, f"{tmp_path}/a")
+    mixed = corpus_pipeline.mix(spark, kept, "").collect()
     got = corpus_pipeline.run(spark, f"{tmp_path}/a").orderBy("position").collect()
     assert [r.doc_id for r in got] == [r.doc_id for r in mixed] and len({r.position for r in got}) == len(got)
     frame.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
