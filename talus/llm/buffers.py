@@ -121,3 +121,12 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, U64))
     return out
+
+
+def row_texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(row, texts) of runs of rows whose struct ``row`` holds a string text, each of about ``size`` bytes of it."""
+    for batch in batches:
+        row = batch.column("row")
+        held = pa.RecordBatch.from_arrays([row, pc.struct_field(row, "text")], ["row", "text"])
+        for part in slices(iter([held]), "text", size):
+            yield part.column("row"), [t or "" for t in part.column("text").to_pylist()]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talus.llm.buffers import BASE, BASE_INVERSE, U64, mix, powers, slices
+from talus.llm.buffers import BASE, BASE_INVERSE, U64, mix, powers, row_texts
 from talus.llm.language import Table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -279,14 +279,14 @@ class Vocabulary:
 def encoded(docs: DataFrame, path: str = MODEL, mode: str = "viterbi") -> DataFrame:
     """``row`` (all columns of ``docs``), piece_ids array<int> and decoded (the text that they give back, as bytes)."""
     vocabulary = Vocabulary.load(path, mode)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
-            ids, offsets = vocabulary.encode([t or "" for t in part.column("text").to_pylist()])
+        for row, texts in row_texts(batches, 1 << 20):
+            ids, offsets = vocabulary.encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
             back = pa.array(vocabulary.decode(ids, offsets), pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("row"), lists, back], ["row", "piece_ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([row, lists, back], ["row", "piece_ids", "decoded"])
 
     made = T.StructType().add("piece_ids", T.ArrayType(T.IntegerType())).add("decoded", T.BinaryType())
     return held.mapInArrow(run, T.StructType([held.schema["row"], *made.fields]))

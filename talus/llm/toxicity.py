@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talus.llm.buffers import mix, slices
+from talus.llm.buffers import mix, row_texts
 from talus.session import written
 
 DECAY, MARK_DECAY = 0.6, 0.92
@@ -488,12 +488,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, most_chars: i
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``row`` (all columns of ``docs``) and score."""
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2 << 20):
-            score = model.score([t or "" for t in part.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(score)], ["row", "score"])
+        for row, texts in row_texts(batches, 1 << 20):
+            yield pa.RecordBatch.from_arrays([row, pa.array(model.score(texts))], ["row", "score"])
 
     return held.mapInArrow(run, T.StructType([held.schema["row"], T.StructField("score", T.DoubleType())]))
 
