@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def streaks(scans: DataFrame) -> DataFrame:
+def streaks(scans: DataFrame, digits: int = 2) -> DataFrame:
     """package, total, clean_streak, trust: trailing scans without findings and what they earn."""
     newest = Window.partitionBy("package").orderBy(F.desc("scan_date"), F.desc("version")).rowsBetween(Window.unboundedPreceding, 0)
     dirty = F.sum(F.when(F.col("finding_count") > 0, 1).otherwise(0)).over(newest)
@@ -14,7 +14,7 @@ def streaks(scans: DataFrame) -> DataFrame:
         F.count("*").alias("total"), F.count_if(F.col("dirty") == 0).alias("clean_streak")
     )
     trust = 0.6 * F.col("clean_streak") / F.col("total") + 0.4 * F.least(F.lit(1.0), F.col("total") / 20)
-    return out.withColumn("trust", F.round(trust, 6))
+    return out.withColumn("trust", F.round(trust, digits))
 
 
 def anomalies(scans: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def write_report(found: DataFrame, path: str, form: str) -> None:
     if form == "sarif":
         sarif(found).write.mode("overwrite").json(path)
     elif form == "json":
-        found.write.mode("overwrite").partitionBy("dep").json(path)
+        found.repartitionByRange("dep").sortWithinPartitions("dep").write.mode("overwrite").json(path)
     elif form == "diagnostics":
         diagnostics(found).write.mode("overwrite").text(path)
     else:

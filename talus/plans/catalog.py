@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talus.plans import corpus, events, risk
+from talus.plans import corpus, events, packages, risk
 
-MODULES = (risk, events, corpus)
+MODULES = (risk, events, corpus, packages)
 
 
 def queries() -> dict:

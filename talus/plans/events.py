@@ -87,7 +87,7 @@ def _scans(spark, sf_dir):
 
 
 def clean_streak(spark, sf_dir):
-    return history.streaks(_scans(spark, sf_dir))
+    return history.streaks(_scans(spark, sf_dir), digits=6)
 
 
 def anomaly_score(spark, sf_dir):

@@ -54,9 +54,16 @@ def folded(commands: DataFrame) -> DataFrame:
     )
 
 
-def project(batch: DataFrame, path: str) -> None:
-    """Write one micro-batch to the scan and timeline projections; for ``foreachBatch``."""
-    batch.persist()
-    batch.select("package", "version", "score").write.mode("append").parquet(f"{path}/package_scans")
-    batch.select("package", "score", F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/risk_timeline")
-    batch.unpersist()
+def projection(path: str):
+    """A ``foreachBatch`` function that writes each micro-batch to the scan and timeline projections.
+
+    A batch goes to a folder of its own number, so one that is tried again replaces itself.
+    """
+
+    def project(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        for name, rows in (("package_scans", batch.select("package", "version", "score")), ("risk_timeline", batch.select("package", "score", F.current_timestamp().alias("at")))):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        batch.unpersist()
+
+    return project
