@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Tables that ``written`` made and that still stand.
 _standing: list[str] = []
+#: Seconds between clean-ups of the driver, and when the last one was.
+TIDY_SECONDS = 3.0
+_tidied = [0.0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +41,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of finished plans in the driver, so that Spark removes their shuffle files and broadcasts.
+
+    Jobs of many small plans would otherwise fill the driver's heap before its collector runs by itself.
+    """
+    if time.monotonic() - _tidied[0] > TIDY_SECONDS:
+        gc.collect()
+        spark._jvm.System.gc()
+        _tidied[0] = time.monotonic()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small frame by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    tidy(df.sparkSession)
+    return out
 
 
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
@@ -52,6 +70,7 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
     _standing.append(path)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
