@@ -38,7 +38,7 @@ took AS (
   FROM taking)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(taken AS BIGINT) AS taken, CAST(weight AS BIGINT) AS weight,
        CASE WHEN taken > 0 THEN CASE WHEN tilt = 0 THEN share
-            ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * share) - (1 - tilt)) / (2 * tilt) END END AS position
+            ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * share) - (1 - tilt)) / (2 * tilt) + 0.0::DOUBLE END END AS position
 FROM took
 """
 
