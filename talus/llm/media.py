@@ -7,6 +7,7 @@ columns are dropped.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,15 +43,35 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(media, pa.binary())], schema=_STORED)
 
 
+def _opened(media: bytes | None) -> tuple | None:
+    """What ``read_avi`` finds; None for null and for what isn't a whole file."""
+    try:
+        return None if media is None else avi.read_avi(media)
+    except (KeyError, ValueError, struct.error):
+        return None
+
+
+def _decoded(files: list) -> tuple[list, np.ndarray | None]:
+    """(files, coefficients of all their frames); a file whose frames can't be decoded becomes None alone."""
+    every = [f for x in files if x for f in x[0]]
+    try:
+        return files, avi.decode_frames(every) if every else None
+    except ValueError:
+        if len(files) == 1:
+            return [None], None
+        parts = [_decoded([x]) for x in files]
+        held = [c for _, c in parts if c is not None]
+        return [x for (x,), _ in parts], np.concatenate(held) if held else None
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "media"):
-        files = [None if m is None else avi.read_avi(m) for m in part.column("media").to_pylist()]
+        files, coefficients = _decoded([_opened(m) for m in part.column("media").to_pylist()])
         every = [f for x in files if x for f in x[0]]
         counts = np.array([len(x[0]) if x else 0 for x in files])
         ends = np.cumsum(counts)
         payloads, clips = [], []
         if every:
-            coefficients = avi.decode_frames(every)
             first = np.zeros(len(every), bool)
             first[(ends - counts)[counts > 0]] = True
             begins, mean = avi.shots(avi.luma(coefficients), first)

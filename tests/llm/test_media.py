@@ -55,3 +55,13 @@ def test_query_reads_back_what_it_stores(spark, tmp_path):
     clips = clip_rows(read_media(store_texts(frame))).where("doc_id is null").orderBy("clip").collect()
     assert clips[0].start_ms == 0 and clips[-1].end_ms == 900
     assert read_media(store_texts(frame.limit(0))).collect() == []
+
+
+def test_damaged_files_give_nulls_and_spare_their_neighbours(spark):
+    good = bytes(store_texts(spark.createDataFrame([(1, "some text of one document")], "doc_id long, text string")).first().media)
+    rows = [(1, good, 25), (2, good[:40], 25), (3, b"no file", 25), (4, good[:-700] if len(good) > 1400 else good[: len(good) // 2], 25), (5, None, 25), (6, good.replace(b"\xff\xdb", b"\xff\xdc"), 25)]
+    frame = store_texts(spark.createDataFrame([(0, "x")], "doc_id long, text string"))
+    media = spark.createDataFrame(rows, "doc_id long, media binary, n_bytes long").select(*frame.columns)
+    got = {r.doc_id: r.payload for r in read_media(media).collect()}
+    assert bytes(got[1]).rstrip(b"\0") == b"some text of one document" and len(got) == 6
+    assert got[2] is None and got[3] is None and got[5] is None and got[6] is None
