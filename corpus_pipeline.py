@@ -22,8 +22,6 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     rows = scored(docs, fitted(docs.select("doc_id", "text"), labels))
     return rows.where(F.col("score") < REJECT).select("row.*")
-    model = fitted(docs.select("doc_id", "text"), labels)
-    return scored(docs, model, docs.columns).where(F.col("score") < REJECT).drop("score")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
