@@ -62,7 +62,8 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     links = cut(links.select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")))
     links = fewer(links, links.count())
     joined = cut(connected_components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v"))))
-    fresh = links.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(labels, "id", "left_anti")
-    every = labels.union(fresh.select("id", F.col("id").alias("component")))
+    # a component is never above its members, so the smaller is what a vertex had; hubs combine before the shuffle
+    named = links.select(F.explode(F.array("u", "v")).alias("id")).select("id", F.col("id").alias("component"))
+    every = labels.union(named).groupBy("id").agg(F.min("component").alias("component"))
     renamed = joined.select(F.col("id").alias("component"), F.col("component").alias("now"))
     return cut(every.join(renamed, "component", "left").select("id", F.coalesce("now", "component").alias("component")))
