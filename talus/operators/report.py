@@ -36,6 +36,19 @@ def diagnostics(found: DataFrame) -> DataFrame:
     return found.select(F.format_string("%s:%d: %s: [talus:%s] %s", "path", "line", level, "check_id", "description").alias("line"))
 
 
+def terminal(scores: DataFrame, found: DataFrame) -> DataFrame:
+    """risk_score, dep, text: what a terminal shows of each package, the highest score first.
+
+    ``scores`` holds dep, risk_level and risk_score; a package's findings follow its own line.
+    """
+    tag = F.when(F.col("compile_time"), " [COMPILE-TIME]").otherwise("")
+    line = F.format_string("    %s%s %s\n      %s:%d", F.upper("severity"), tag, "description", "path", "line")
+    each = found.groupBy("dep").agg(F.array_sort(F.collect_list(F.struct("path", "line", line.alias("shown")))).alias("all"))
+    head = F.format_string("  [%s] %s score: %s", F.upper("risk_level"), "dep", F.col("risk_score").cast("string"))
+    text = F.concat_ws("\n", head, F.transform("all", lambda x: x["shown"]))
+    return scores.join(each, "dep", "left").select("risk_score", "dep", text.alias("text")).orderBy(F.desc("risk_score"), "dep")
+
+
 def write_report(found: DataFrame, path: str, form: str) -> None:
     """Write findings as sarif, json or diagnostics files below ``path``."""
     if form == "sarif":

@@ -2,8 +2,8 @@
 
 Strings and comments are masked first, so nothing inside them counts. Aliases hold for the rest of
 the file, whatever block they stand in. The enclosing definition follows from indentation: macro
-bodies and module bodies run at compile time, function bodies don't. A file that is no text gives
-no rows.
+bodies and module bodies run at compile time, function bodies don't. An unqualified call counts where
+an earlier import names a module that is listed with that function. A file that is no text gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +21,32 @@ CALL = re.compile(r"(?<![\w.:@])(:[a-z]\w*|[A-Z]\w*(?:\.[A-Z]\w*)*)\.([a-z_]\w*[
 DEFINES = re.compile(r"^(\s*)(defmacrop?|defp?)\b")
 LITERAL = re.compile(r'"((?:\\.|[^"\\])*)"|~c"((?:\\.|[^"\\])*)"')
 APPLY = re.compile(r"(?<![\w.:@])apply\(")
+IMPORT = re.compile(r"^\s*import\s+(:?[A-Za-z][\w.]*)", re.M)
+BARE = re.compile(r"(?<![\w.:@&%])([a-z_]\w*[!?]?)(\(| +(?=[\"':\[%~]))")
+# Functions that an unqualified call may mean where their module is imported.
+IMPORTABLE = (
+    ("System", "cmd shell find_executable get_env fetch_env fetch_env!"),
+    ("Code", "eval_string eval_quoted eval_file compile_string compile_quoted"),
+    ("File", "read! write! rm rm_rf cp cp_r ln_s stream! open mkdir mkdir_p"),
+    ("Port", "open"),
+    ("Module", "create"),
+    ("EEx", "eval_string eval_file compile_string compile_file"),
+    ("Base", "decode64 decode64!"),
+    ("String", "to_atom to_existing_atom"),
+    ("List", "to_atom to_existing_atom"),
+    ("IO", "puts write binwrite inspect"),
+    ("Req", "get get! post post! put put! delete delete! request request!"),
+    ("HTTPoison", "get get! post post! put put! delete delete! request request!"),
+    ("Finch", "request build"),
+    ("Mint.HTTP", "connect"),
+    ("Kernel", "apply"),
+    ("os", "cmd"),
+    ("httpc", "request"),
+    ("gen_tcp", "connect"),
+    ("ssl", "connect"),
+    ("erlang", "binary_to_term binary_to_atom list_to_atom"),
+)
+IMPORTED = {(module, name) for module, names in IMPORTABLE for name in names.split()}
 FACTS = "line int, body int, module string, func string, empty_call boolean, literals array<string>, compile_time boolean"
 
 
@@ -81,6 +107,18 @@ class CallFacts:
                 given = [a or b for a, b in LITERAL.findall(content[lo:hi])]
             kind, body = kinds[line]
             yield line + 1, body, module, m[2], empty, given, not kind.startswith("def") or kind.startswith("defmacro")
+        imports = [(m.start(), m[1].lstrip(":")) for m in IMPORT.finditer(plain)]
+        # a string after the name is blank in ``plain``, so names are sought in the text and kept where code stands
+        for m in BARE.finditer(content) if imports else ():
+            if plain[m.start() : m.end(1)] != m[1] or re.search(r"\bdef\w*\s+$", plain[max(0, m.start() - 20) : m.start()]):
+                continue
+            module = next((x for at, x in imports if at < m.start() and (x, m[1]) in IMPORTED), None)
+            if module:
+                line = bisect.bisect_right(starts, m.start()) - 1
+                lo, hi = arguments(plain, m.end()) if m[2] == "(" else (m.end(), starts[line + 1] - 1)
+                kind, body = kinds[line]
+                given = [a or b for a, b in LITERAL.findall(content[lo:hi])]
+                yield line + 1, body, module, m[1], not content[lo:hi].strip(), given, not kind.startswith("def") or kind.startswith("defmacro")
         for m in APPLY.finditer(plain):
             given = top_level(plain[slice(*arguments(plain, m.end()))])
             if len(given) == 3 and not all(re.fullmatch(r":[a-z_]\w*[?!]?", x) for x in given[:2]):
