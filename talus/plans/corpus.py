@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talus.functions import text
-from talus.operators import compare, graph, history, names
+from talus.operators import builtin, compare, graph, history, names
 from talus.session import table
 
 # Name and pattern of the link checks.
@@ -107,6 +107,15 @@ def transitive_closure_whole(spark, sf_dir):
     return graph.closure_by_doubling(nodes, edges)
 
 
+def allowlist_notes(spark, sf_dir):
+    """What promotional parts, which stand for packages with an allowance, reach that has findings (order lines)."""
+    _, edges = _graph(spark, sf_dir)
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("dep"), F.col("l_returnflag").alias("category"))
+    allowances = table(spark, sf_dir, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").alias("dep"), F.lit("code_eval").alias("category"))
+    reached = graph.closure_by_doubling(allowances.select(F.col("dep").alias("node")), edges).select(F.col("root").alias("package"), F.col("node").alias("dep"))
+    return builtin.transitive_notes(reached, found, allowances).withColumn("categories", F.array_join("categories", ","))
+
+
 def version_history(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     return history.versions(orders.select(F.col("o_custkey").alias("package"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("released")))
@@ -248,7 +257,7 @@ QUERIES = {
         typosquat_pairs, nearest_known, phantom_names, incident_range_join, patch_suggestions, bfs_depth, transitive_closure,
         version_history, file_set_diff, manifest_hash_verify, module_set_diff, delta_signals, import_density, capability_mismatch,
         capability_mismatch_whole, typosquat_pairs_whole, nearest_known_whole, patch_suggestions_whole, bfs_depth_whole,
-        transitive_closure_whole, file_set_diff_whole, manifest_hash_verify_whole,
+        transitive_closure_whole, allowlist_notes, file_set_diff_whole, manifest_hash_verify_whole,
         shady_links, secret_literals, high_entropy_text, decode_eval_cooccurrence, metadata_penalties, pre_install_assessment,
         search_substring, parse_judgment,
     )
@@ -349,6 +358,10 @@ ORACLES |= {
         SELECT p_partkey AS node, CAST(coalesce(min(depth), 1) AS BIGINT) AS depth FROM part LEFT JOIN walk ON p_partkey = node GROUP BY p_partkey""",
     "transitive_closure_whole": f"""WITH RECURSIVE {WHOLE_GRAPH_SQL}, walk(root, node) AS (
         SELECT p_partkey, p_partkey FROM part UNION SELECT root, dst FROM walk JOIN edges ON src = node) SELECT root, node FROM walk WHERE root <> node""",
+    "allowlist_notes": f"""WITH RECURSIVE {WHOLE_GRAPH_SQL}, walk(root, node) AS (
+        SELECT p_partkey, p_partkey FROM part WHERE p_type = 'PROMO' UNION SELECT root, dst FROM walk JOIN edges ON src = node),
+        counts AS (SELECT l_partkey, count(*) AS n_findings, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS categories FROM lineitem GROUP BY 1)
+        SELECT root AS package, node AS dep, n_findings, categories FROM walk JOIN counts ON node = l_partkey WHERE root <> node""",
     "file_set_diff_whole": f"""WITH {WHOLE_TREES_SQL} SELECT coalesce(a.path, b.path) AS path, CASE WHEN old_hash IS NULL THEN 'added' WHEN new_hash IS NULL THEN 'removed'
         WHEN old_hash <> new_hash THEN 'modified' ELSE 'same' END AS status FROM a FULL JOIN b ON a.path = b.path""",
     "manifest_hash_verify_whole": f"""WITH {WHOLE_TREES_SQL} SELECT a.path, CASE WHEN new_hash IS NULL THEN 'missing' ELSE 'mismatch' END AS problem
