@@ -37,7 +37,7 @@ from talus.session import written
 BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text in a run, and words that a worker remembers at most.
-RUN_BYTES, MEMORY = 2 << 20, 1 << 18
+RUN_BYTES, MEMORY = 1 << 20, 1 << 18
 
 
 def byte_of_character() -> dict[str, int]:
@@ -225,21 +225,26 @@ def word_links(w: Column, keys: Column) -> Column:
 
 
 def word_cuts(w: Column, keys: Column) -> Column:
-    """The keys of A's and of B's ends that both sides have."""
-    of_a = F.filter(keys, lambda key, place: _of_a(key) & (F.get(w["b_ends"], place.cast("int") - _own(key)) == _end(key)))
-    of_b = F.filter(keys, lambda key, place: ~_of_a(key) & (F.get(w["a_ends"], place.cast("int") - _own(key) - 1) == _end(key)))
-    return F.struct(of_a.alias("a"), of_b.alias("b"))
+    """At each end of both sides, A's and B's token that end there: a << 32 | b by their numbers."""
+
+    def both(key: Column, place: Column) -> Column:
+        other = place.cast("int") - _own(key)
+        return F.when(_of_a(key) & (F.get(w["b_ends"], other) == _end(key)), link(_own(key), other))
+
+    return F.filter(F.transform(keys, both), lambda cut: cut.isNotNull())
 
 
 def word_groups(x: Column) -> Column:
     """``a1,a2|b1;a3|b2,b3``: the ids of A and B between two ends of both."""
+    joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    number = {"a": lambda cut: F.shiftright(cut, 32).cast("int"), "b": _own}
 
     def side(name: str, k: Column) -> Column:
-        cuts = x["cuts"][name]
-        start = F.when(k > 0, _own(F.get(cuts, k - 1)) + 1).otherwise(0)
-        return F.array_join(F.slice(x["w"][f"{name}_ids"], start + 1, _own(F.get(cuts, k)) + 1 - start).cast("array<string>"), ",")
+        start = F.coalesce(number[name](F.get(x["cuts"], k - 2)) + 2, F.lit(1))
+        return joined(F.slice(x["w"][f"{name}_ids"], start, number[name](F.get(x["cuts"], k - 1)) + 2 - start))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), x["n_groups"] - 1), lambda k: F.concat_ws("|", side("a", k), side("b", k))), ";")
+    several = F.array_join(F.transform(F.sequence(F.lit(1), x["n_groups"]), lambda k: F.concat_ws("|", side("a", k), side("b", k))), ";")
+    return F.when(x["n_groups"] == 1, F.concat_ws("|", joined(x["w"]["a_ids"]), joined(x["w"]["b_ids"]))).otherwise(several)
 
 
 def aligned_words(runs: DataFrame) -> DataFrame:
@@ -251,9 +256,13 @@ def aligned_words(runs: DataFrame) -> DataFrame:
     return runs.withColumn("words", words)
 
 
+def _total(words: Column, of: str) -> Column:
+    return F.aggregate(words, F.lit(0).cast("long"), lambda s, i: s + F.get(F.col(of), i))
+
+
 def link_counts(runs: DataFrame) -> DataFrame:
     """(link, count, best) of aligned ``runs``: how many links of all documents hold a pair of ids, and whether no pair of its B id has more."""
-    each = runs.select(F.explode(F.arrays_zip(F.col("words.n").alias("n"), F.col("words.links").alias("links"))).alias("x"))
+    each = runs.select(F.explode(F.arrays_zip("n", "links")).alias("x"))
     each = each.select("x.n", F.explode("x.links").alias("link")).where("link is not null")
     counts = written(each.groupBy("link").agg(F.sum("n").alias("count")), "links")
     b = F.col("link").bitwiseAND(F.lit(KIND - 1))
@@ -262,24 +271,23 @@ def link_counts(runs: DataFrame) -> DataFrame:
     return joined.select("link", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
 
 
-def aligned(docs: DataFrame, **paths) -> DataFrame:
+def aligned(docs: DataFrame, digest: bool = False, **paths) -> DataFrame:
     """``row`` (all columns of ``docs``), n_a, n_b, n_groups, n_links, n_best (links whose count is the highest of their B id),
-    count_sum (the counts of its links) and groups (``a1,a2|b1;a3|b2,b3``; empty without tokens)."""
-    runs = written(aligned_words(tokenised(docs, **paths)), "runs")
+    count_sum (the counts of its links) and groups (``a1,a2|b1;a3|b2,b3``; empty without tokens; with ``digest`` their SHA-256)."""
+    runs = aligned_words(tokenised(docs, **paths)).withColumns({"n_groups": F.col("words.n_groups"), "text": F.col("words.groups")})
+
+    def laid(d: Column) -> Column:
+        text = F.array_join(F.transform(d["words"], lambda i: F.get("text", i)), ";")
+        text = F.when(F.size(d["words"]) > 0, F.sha2(text.cast("binary"), 256)).otherwise("") if digest else text
+        return F.struct(d["row"].alias("row"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), _total(d["words"], "n_groups").alias("n_groups"), text.alias("groups"), d["words"].alias("words"))
+
+    # one pass over the texts; the groups' text stays with its document and isn't shuffled with the words
+    runs = written(runs.select("run", F.col("words.n").alias("n"), F.col("words.links").alias("links"), F.transform("docs", laid).alias("docs")), "runs")
     counts = link_counts(runs)
-    each = runs.select("run", F.posexplode("words.links").alias("word", "links")).select("run", "word", F.explode("links").alias("link")).where("link is not null")
+    each = runs.select("run", F.posexplode("links").alias("word", "links")).select("run", "word", F.explode("links").alias("link")).where("link is not null")
     by_word = each.join(small(counts, F.lit(32)), "link").groupBy("run", "word").agg(F.sum("best").alias("best"), F.sum("count").alias("count"))
     by_run = by_word.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("word", "best", "count"))).alias("found"))
     by_run = by_run.select("run", F.col("found.best").alias("best"), F.col("found.count").alias("count"))
-    laid = runs.select("run", "docs", F.col("words.n_groups").alias("n"), F.col("words.groups").alias("text"))
-    zero = F.lit(0).cast("long")
-    total = lambda d, of: F.aggregate(d["words"], zero, lambda s, i: s + F.get(F.col(of), i))
-    doc = F.transform(
-        "docs",
-        lambda d: F.struct(
-            d["row"].alias("row"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), total(d, "n").alias("n_groups"), total(d, "best").alias("n_best"),
-            total(d, "count").alias("count_sum"), F.array_join(F.transform(d["words"], lambda i: F.get("text", i)), ";").alias("groups"),
-        ),
-    )
-    rows = laid.join(by_run, "run", "left").select(F.inline(doc))
+    summed = lambda d: F.struct(*[d[c].alias(c) for c in ("row", "n_a", "n_b", "n_groups", "groups")], _total(d["words"], "best").alias("n_best"), _total(d["words"], "count").alias("count_sum"))
+    rows = runs.select("run", "docs").join(by_run, "run", "left").select(F.inline(F.transform("docs", summed)))
     return rows.select("row", "n_a", "n_b", "n_groups", (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links"), "n_best", "count_sum", "groups")

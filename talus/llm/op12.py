@@ -7,11 +7,11 @@ from talus.session import table
 
 
 def op12_token_alignment(spark, sf_dir):
-    rows = aligned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = aligned(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
     return rows.select(
         F.col("row.doc_id").cast("long").alias("doc_id"),
         *[F.col(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")],
-        F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("").alias("groups_sha256"),
+        F.col("groups").alias("groups_sha256"),
     )
 
 
