@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talus.plans import corpus, events, packages, risk
+from talus.plans import corpus, events, modules, packages, risk
 
-MODULES = (risk, events, corpus, packages)
+MODULES = (risk, events, corpus, packages, modules)
 
 
 def queries() -> dict:
