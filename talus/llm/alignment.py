@@ -256,8 +256,9 @@ def aligned_words(runs: DataFrame) -> DataFrame:
     return runs.withColumn("words", words)
 
 
-def _total(words: Column, of: str) -> Column:
-    return F.aggregate(words, F.lit(0).cast("long"), lambda s, i: s + F.get(F.col(of), i))
+def _total(words: Column, of: str, field: str) -> Column:
+    # the field of one element, as taking a field of the whole array would go through all of it each time
+    return F.aggregate(words, F.lit(0).cast("long"), lambda s, i: s + F.get(F.col(of), i)[field])
 
 
 def link_counts(runs: DataFrame) -> DataFrame:
@@ -274,12 +275,12 @@ def link_counts(runs: DataFrame) -> DataFrame:
 def aligned(docs: DataFrame, digest: bool = False, **paths) -> DataFrame:
     """``row`` (all columns of ``docs``), n_a, n_b, n_groups, n_links, n_best (links whose count is the highest of their B id),
     count_sum (the counts of its links) and groups (``a1,a2|b1;a3|b2,b3``; empty without tokens; with ``digest`` their SHA-256)."""
-    runs = aligned_words(tokenised(docs, **paths)).withColumns({"n_groups": F.col("words.n_groups"), "text": F.col("words.groups")})
+    runs = aligned_words(tokenised(docs, **paths))
 
     def laid(d: Column) -> Column:
-        text = F.array_join(F.transform(d["words"], lambda i: F.get("text", i)), ";")
+        text = F.array_join(F.transform(d["words"], lambda i: F.get("words", i)["groups"]), ";")
         text = F.when(F.size(d["words"]) > 0, F.sha2(text.cast("binary"), 256)).otherwise("") if digest else text
-        return F.struct(d["row"].alias("row"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), _total(d["words"], "n_groups").alias("n_groups"), text.alias("groups"), d["words"].alias("words"))
+        return F.struct(d["row"].alias("row"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), _total(d["words"], "words", "n_groups").alias("n_groups"), text.alias("groups"), d["words"].alias("words"))
 
     # one pass over the texts; the groups' text stays with its document and isn't shuffled with the words
     runs = written(runs.select("run", F.col("words.n").alias("n"), F.col("words.links").alias("links"), F.transform("docs", laid).alias("docs")), "runs")
@@ -287,7 +288,6 @@ def aligned(docs: DataFrame, digest: bool = False, **paths) -> DataFrame:
     each = runs.select("run", F.posexplode("links").alias("word", "links")).select("run", "word", F.explode("links").alias("link")).where("link is not null")
     by_word = each.join(small(counts, F.lit(32)), "link").groupBy("run", "word").agg(F.sum("best").alias("best"), F.sum("count").alias("count"))
     by_run = by_word.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("word", "best", "count"))).alias("found"))
-    by_run = by_run.select("run", F.col("found.best").alias("best"), F.col("found.count").alias("count"))
-    summed = lambda d: F.struct(*[d[c].alias(c) for c in ("row", "n_a", "n_b", "n_groups", "groups")], _total(d["words"], "best").alias("n_best"), _total(d["words"], "count").alias("count_sum"))
+    summed = lambda d: F.struct(*[d[c].alias(c) for c in ("row", "n_a", "n_b", "n_groups", "groups")], _total(d["words"], "found", "best").alias("n_best"), _total(d["words"], "found", "count").alias("count_sum"))
     rows = runs.select("run", "docs").join(by_run, "run", "left").select(F.inline(F.transform("docs", summed)))
     return rows.select("row", "n_a", "n_b", "n_groups", (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links"), "n_best", "count_sum", "groups")
