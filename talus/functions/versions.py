@@ -11,11 +11,12 @@ SEMVER = r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)(?:-([0-9A-Za-z-]+(
 def version_key(version: Column) -> Column:
     """A struct that orders as semantic versions do; null for what isn't one.
 
-    A release comes after its pre-releases; numeric identifiers come before others and compare as numbers.
+    A release comes after its pre-releases; numeric identifiers come before others and compare as numbers, of
+    any length: by their digits' count, then by the digits.
     """
     part = lambda i: F.regexp_extract(version, SEMVER, i)
-    number = lambda i: part(i).cast("decimal(38,0)")
-    ordered = lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("0"), F.lpad(x, 30, "0"))).otherwise(F.concat(F.lit("1"), x))
+    number = lambda i: F.struct(F.length(part(i)).alias("length"), part(i).alias("digits"))
+    ordered = lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("0"), F.lpad(F.length(x).cast("string"), 9, "0"), x)).otherwise(F.concat(F.lit("1"), x))
     pre = F.array_join(F.transform(F.split(part(4), r"\."), ordered), "\u0001")
     return F.when(version.rlike(SEMVER), F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch"), (part(4) == "").alias("released"), pre.alias("pre")))
 

@@ -30,7 +30,7 @@ SHOWN = (
     ("erl_eval", "*", "code_eval"),
     ("epp", "*", "code_eval file_read"),
 )
-KNOWN = ("ssh", "network", "dns", "file_read", "file_write", "system_exec", "native", "code_eval")
+KNOWN = ("network", "file_read", "file_write", "system_exec", "code_eval", "native", "compile_hook", "reflection", "ssh", "env_access", "dns")
 
 
 def observed(imports: DataFrame) -> DataFrame:

@@ -30,15 +30,15 @@ def dangerous_calls(spark: SparkSession) -> DataFrame:
 
 
 def judged_callbacks(callbacks: DataFrame, facts: DataFrame) -> DataFrame:
-    """dep, module, event, dangerous of the callbacks (dep, path, module, event, line, last) by the call facts in their lines.
+    """dep, module, event, dangerous of the callbacks (dep, path, module, event, line, last) by the call facts (dep, path, line, module, func) in their lines.
 
     Where a package defines a callback of one module more than once, one dangerous body is enough.
     """
     # the table above, of fixed size
     dim = F.broadcast(dangerous_calls(facts.sparkSession).withColumnRenamed("module", "m").withColumnRenamed("func", "f"))
     calls = facts.join(dim, (F.col("module") == F.col("m")) & F.col("f").isin("*", F.col("func")), "left_semi")
-    calls = calls.select("path", F.col("line").alias("at")).distinct()
-    inside = (callbacks.path == calls.path) & F.col("at").between(callbacks.line, callbacks.last)
+    calls = calls.select("dep", "path", F.col("line").alias("at")).distinct()
+    inside = (callbacks.dep == calls.dep) & (callbacks.path == calls.path) & F.col("at").between(callbacks.line, callbacks.last)
     held = callbacks.join(calls, inside, "left").select(callbacks["dep"], "module", "event", F.col("at").isNotNull().alias("bad"))
     return held.groupBy("dep", "module", "event").agg(F.bool_or("bad").alias("dangerous"))
 

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Corpora up to so many names are broadcast; they are dimension tables.
-BROADCAST_NAMES = 100_000
-
-
 def adjacent_swap(a: Column, b: Column) -> Column:
     """Whether two strings of equal length differ by one swap of neighbours."""
     n = F.char_length(a)
@@ -20,36 +16,49 @@ def adjacent_swap(a: Column, b: Column) -> Column:
 
 
 def bare(name: Column) -> Column:
-    return F.regexp_replace(name, "[-_. ]", "")
+    return F.regexp_replace(name, "[-_.]", "")
 
 
-def confusables(names: DataFrame, corpus: DataFrame) -> DataFrame:
-    """name, known, kind of the pairs one edit, one swap or only separators apart.
+def variants(name: Column, deletions: int) -> Column:
+    """Hashes of a name and of all that is left of it after up to so many deletions of a character."""
+    out = F.array(name)
+    for _ in range(deletions):
+        shorter = lambda x: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(x))), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1))
+        )
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, shorter))))
+    return F.transform(out, lambda x: F.xxhash64(x))
+
+
+def _near(names: DataFrame, corpus: DataFrame, deletions: int) -> DataFrame:
+    """Distinct pairs name, known that share a variant: all pairs within so many edits, and neighbours swapped.
 
-    Lengths prune before the distance is computed; the corpus is a dimension table, so it is broadcast
-    while its checked size allows.
+    An equi-join on variants; a name has as many of them as its length allows, however many names there are.
     """
+    each = lambda df, c: df.select(c, F.explode(variants(F.col(c), deletions)).alias("variant"))
+    return each(names.select("name").distinct(), "name").join(each(corpus, "known"), "variant").where("name <> known").select("name", "known").distinct()
+
+
+def confusables(names: DataFrame, corpus: DataFrame) -> DataFrame:
+    """name, known, kind of the pairs one edit, one swap or only separators apart."""
     known = corpus.select(F.col("name").alias("known")).distinct()
-    if known.count() <= BROADCAST_NAMES:
-        known = F.broadcast(known)
-    near = (F.abs(F.char_length("name") - F.char_length("known")) <= 1) & (F.col("name") != F.col("known"))
+    plain = names.select("name").distinct().withColumn("bare", bare(F.col("name")))
+    apart = plain.join(known.withColumn("bare", bare(F.col("known"))), "bare").where("name <> known").select("name", "known")
     kind = (
         F.when(F.levenshtein("name", "known") == 1, "edit")
         .when(adjacent_swap(F.col("name"), F.col("known")), "swap")
         .when(bare(F.col("name")) == bare(F.col("known")), "separator")
     )
-    return names.select("name").distinct().join(known, near).withColumn("kind", kind).where("kind is not null")
+    return _near(names, known, 1).union(apart).distinct().withColumn("kind", kind).where("kind is not null")
 
 
 def nearest_known(names: DataFrame, corpus: DataFrame, most: int = 2) -> DataFrame:
-    """name, known, distance: the closest corpus name within ``most`` edits, the first by name of equals."""
-    known = corpus.select(F.col("name").alias("known")).distinct()
-    if known.count() <= BROADCAST_NAMES:
-        known = F.broadcast(known)
-    near = (F.abs(F.char_length("name") - F.char_length("known")) <= most) & (F.col("name") != F.col("known"))
-    pairs = names.select("name").distinct().join(known, near).withColumn("distance", F.levenshtein("name", "known", most)).where("distance >= 0")
-    best = F.min(F.struct("distance", "known")).alias("best")
-    return pairs.groupBy("name").agg(best).select("name", "best.known", F.col("best.distance").cast("long").alias("distance"))
+    """name, known, distance: the closest corpus name within ``most`` edits; of equals the first by ``place`` (where the corpus has it), then name."""
+    place = F.min("place") if "place" in corpus.columns else F.lit(0)
+    known = corpus.groupBy(F.col("name").alias("known")).agg(place.alias("place"))
+    pairs = _near(names, known.select("known"), most).withColumn("distance", F.levenshtein("name", "known", most)).where("distance >= 0")
+    best = F.min(F.struct("distance", "place", "known")).alias("best")
+    return pairs.join(known, "known").groupBy("name").agg(best).select("name", "best.known", F.col("best.distance").cast("long").alias("distance"))
 
 
 def in_range(rows: DataFrame, incidents: DataFrame) -> DataFrame:

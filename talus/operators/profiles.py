@@ -56,6 +56,7 @@ REFLECTION = (
     "erlang.fun_info/2",
 )
 MANY_KINDS, MANY_CALLS = 5, 15
+SPIKE = 3
 SUSPICIOUS_ATOM = r"^https?://|^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+$"
 
 
@@ -111,6 +112,16 @@ def content_hash(found: DataFrame) -> DataFrame:
     return found.select("module", F.sha2(F.to_json(parts), 256).alias("hash"))
 
 
+def profile_digest(found: DataFrame) -> Column:
+    """A digest of all that a profile holds but for its path: ``content_hash``'s parts, attributes, dispatch and handler."""
+    attributes = F.array_sort(F.map_entries("attributes")) if "attributes" in found.columns else F.lit(None).cast("string")
+    parts = F.struct(
+        "module", F.array_sort("imports").alias("imports"), F.array_sort("exports").alias("exports"), F.array_sort("atoms").alias("atoms"),
+        attributes.alias("attributes"), _calls(found).alias("dispatch"), handles_undefined(F.col("exports")).alias("handles_undefined"),
+    )
+    return F.sha2(F.to_json(parts), 256)
+
+
 def prior_versions(cached: DataFrame, current: DataFrame) -> DataFrame:
     """dep, prior: the last cached version by text order that isn't the current one."""
     held = cached.join(current.select("dep", F.col("version").alias("now")), "dep").where("version <> now")
@@ -120,7 +131,8 @@ def prior_versions(cached: DataFrame, current: DataFrame) -> DataFrame:
 def delta_findings(old: DataFrame, new: DataFrame) -> DataFrame:
     """module, check_id, severity, examples: what the modules of ``new`` gained against ``old``.
 
-    A module of its own is a warning and its dangerous imports are critical.
+    A module of its own is a warning, and each of its dangerous imports is critical; of a known module one row
+    names the first three. Dispatch instructions spike from SPIKE more on.
     """
     a = old.select("module", F.col("imports").alias("was"), F.col("exports").alias("old_exports"), F.col("atoms").alias("old_atoms"), _calls(old).alias("calls"), F.lit(True).alias("known"))
     both = new.select("module", "imports", "exports", "atoms", _calls(new).alias("dispatch")).join(a, "module", "left")
@@ -133,14 +145,15 @@ def delta_findings(old: DataFrame, new: DataFrame) -> DataFrame:
     found = lambda when, check, severity, examples: F.when(when, F.struct(F.lit(check).alias("check_id"), F.lit(severity).alias("severity"), F.slice(examples, 1, 3).alias("examples")))
     kinds = F.array_compact(
         F.array(
-            found(F.size(fresh) > 0, "beam_delta_dangerous_import", "critical", fresh),
+            found(known & (F.size(fresh) > 0), "beam_delta_dangerous_import", "critical", fresh),
             found(known & handles, "beam_delta_handle_undefined", "critical", none),
-            found(known & (F.col("dispatch") - F.coalesce("calls", F.lit(0)) >= MANY_CALLS), "beam_delta_dispatch_spike", "warning", none),
+            found(known & (F.col("dispatch") - F.coalesce("calls", F.lit(0)) >= SPIKE), "beam_delta_dispatch_spike", "warning", none),
             found(known & (F.size(atoms) > 0), "beam_delta_suspicious_atoms", "warning", atoms),
             found(~known, "beam_delta_module_added", "warning", none),
         )
     )
-    return both.select("module", F.inline(kinds))
+    each = F.transform(F.when(known, F.array().cast("array<string>")).otherwise(fresh), lambda x: F.struct(F.lit("beam_delta_dangerous_import").alias("check_id"), F.lit("critical").alias("severity"), F.array(x).alias("examples")))
+    return both.select("module", F.inline(F.concat(kinds, each)))
 
 
 def suspicious_atoms(found: DataFrame) -> DataFrame:

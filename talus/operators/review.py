@@ -10,10 +10,13 @@ OVERALL = r"(?i)OVERALL:\s*(MALICIOUS|BENIGN|UNCERTAIN)"
 
 
 def verdicts(reviews: DataFrame, key: str, text: str) -> DataFrame:
-    """key, position, verdict of the finding lines in review texts; of several lines on one finding the last holds."""
+    """key, position, verdict of the finding lines in review texts; of several lines on one finding the last holds.
+
+    A number too long for a finding's place has a null position, which no finding has.
+    """
     lines = reviews.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
     lines = lines.where(F.col("line").rlike(FINDING))
-    read = lines.select(key, "at", F.regexp_extract("line", FINDING, 1).cast("int").alias("position"), F.lower(F.regexp_extract("line", FINDING, 2)).alias("verdict"))
+    read = lines.select(key, "at", F.regexp_extract("line", FINDING, 1).try_cast("long").alias("position"), F.lower(F.regexp_extract("line", FINDING, 2)).alias("verdict"))
     return read.groupBy(key, "position").agg(F.max_by("verdict", "at").alias("verdict"))
 
 

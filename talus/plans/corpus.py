@@ -290,7 +290,7 @@ PEOPLE_SQL = "o AS (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderprior
 ORACLES = {
     "typosquat_pairs": f"""WITH {NAMES_SQL}, pairs AS (
         SELECT name, known, CASE WHEN levenshtein(name, known) = 1 THEN 'edit' WHEN length(name) = length(known) AND levenshtein(name, known) = 2 AND damerau_levenshtein(name, known) = 1 THEN 'swap'
-          WHEN regexp_replace(name, '[-_. ]', '', 'g') = regexp_replace(known, '[-_. ]', '', 'g') THEN 'separator' END AS kind
+          WHEN regexp_replace(name, '[-_.]', '', 'g') = regexp_replace(known, '[-_.]', '', 'g') THEN 'separator' END AS kind
         FROM names, known WHERE name <> known AND abs(length(name) - length(known)) <= 1) SELECT * FROM pairs WHERE kind IS NOT NULL""",
     "nearest_known": f"WITH {NEAR_SQL} SELECT name, known, CAST(distance AS BIGINT) AS distance FROM near",
     "phantom_names": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
@@ -346,7 +346,7 @@ ORACLES = {
 ORACLES |= {
     "typosquat_pairs_whole": f"""WITH {WHOLE_NAMES_SQL}, pairs AS (
         SELECT name, known, CASE WHEN levenshtein(name, known) = 1 THEN 'edit' WHEN length(name) = length(known) AND levenshtein(name, known) = 2 AND damerau_levenshtein(name, known) = 1 THEN 'swap'
-          WHEN regexp_replace(name, '[-_. ]', '', 'g') = regexp_replace(known, '[-_. ]', '', 'g') THEN 'separator' END AS kind
+          WHEN regexp_replace(name, '[-_.]', '', 'g') = regexp_replace(known, '[-_.]', '', 'g') THEN 'separator' END AS kind
         FROM names, known WHERE name <> known AND abs(length(name) - length(known)) <= 1) SELECT * FROM pairs WHERE kind IS NOT NULL""",
     "nearest_known_whole": f"""WITH {WHOLE_NAMES_SQL} SELECT name, arg_min(known, (levenshtein(name, known), known)) AS known, CAST(min(levenshtein(name, known)) AS BIGINT) AS distance
         FROM names, known WHERE name <> known AND levenshtein(name, known) <= 2 GROUP BY name""",

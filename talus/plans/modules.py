@@ -5,10 +5,15 @@ No table holds compiled modules, so each order becomes a file: its items are ins
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.session import table
+from talus.functions import documents
+from talus.operators import cache, profiles
+from talus.plans.packages import IMPORTS, _import
+from talus.session import shared_dir, table
 from talus.sources.beam import read_modules
 
 
@@ -92,3 +97,85 @@ FROM (SELECT l_orderkey, count(*) AS n, count(*) FILTER (NOT (l_returnflag = 'N'
 
 QUERIES = {"chunk_profiles": chunk_profiles}
 ORACLES = {"chunk_profiles": CHUNK_SQL}
+
+
+def _cached_profiles(spark, sf_dir) -> DataFrame:
+    """Profiles by package and version: suppliers in packages, line numbers as versions, parts in modules."""
+    items = table(spark, sf_dir, "lineitem").withColumn("i", _import(spark, sf_dir))
+    keys = [
+        F.concat(F.lit("p"), (F.col("l_suppkey") % 25).cast("string")).alias("package"),
+        F.concat(F.lit("0."), (F.col("l_linenumber") + 5).cast("string"), F.lit(".0")).alias("version"),
+        F.concat(F.lit("M"), (F.col("l_partkey") % 40).cast("string")).alias("module"), "l_returnflag",
+    ]
+    none = F.array().cast("array<struct<f:string,a:int>>")
+    made = items.groupBy(*keys).agg(F.collect_set("i").alias("imports"), F.count("*").cast("int").alias("dispatch"))
+    return made.withColumns({"exports": none, "atoms": F.array().cast("array<string>")})
+
+
+def profile_cache(spark, sf_dir):
+    """Every version saved, one of each package saved anew, one dropped; then what the store holds of each, and its prior version."""
+    found = _cached_profiles(spark, sf_dir)
+    whole = found.groupBy("package", "version", "module").agg(
+        F.array_distinct(F.flatten(F.collect_list("imports"))).alias("imports"), F.sum("dispatch").cast("int").alias("dispatch"), F.first("exports").alias("exports"), F.first("atoms").alias("atoms")
+    )
+    root = f"{shared_dir(spark)}/profiles-{uuid.uuid4().hex}"
+    cache.save(whole, root)
+    cache.save(found.where("version = '0.8.0' and l_returnflag = 'A'").drop("l_returnflag"), root)
+    cache.drop(spark, root, "p3", "0.9.0")
+    held = cache.stored(spark, root)
+    counts = held.groupBy("package", "version").agg(F.count("*").alias("n_modules"), F.sum(F.size("imports")).alias("n_imports"), F.countDistinct("digest").alias("n_digests"))
+    cached = cache.versions(spark, root).withColumnRenamed("package", "dep")
+    prior = profiles.prior_versions(cached, cached.select("dep").distinct().withColumn("version", F.lit("0.9.0")))
+    return counts.join(prior.withColumnRenamed("dep", "package"), "package", "left")
+
+
+def _manifest_texts(spark, sf_dir) -> DataFrame:
+    """A manifest for each order, its keys in one of three orders and spacings; some are cut off, some no object."""
+    c = F.col
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("made"))
+    hashes = F.array_join(F.transform("made", lambda x: F.format_string('{"module": "M%d", "content_hash" :"%s"}', x["l_linenumber"], F.hex(x["l_partkey"]))), ", ")
+    signer = F.when(c("l_orderkey") % 4 == 0, "null").otherwise(F.format_string('"s%d"', c("l_orderkey") % 7))
+    parts = [
+        F.format_string('"package":"p%d"', c("l_orderkey") % 100), F.format_string('"version" : "1.%d.0"', F.size("made")), F.concat(F.lit('"module_hashes": ['), hashes, F.lit("]")),
+        F.lit('"capabilities":["ssh", "dns"]'), F.concat(F.lit('"signer": '), signer), F.lit('"extra":{"z":[1,{"b":2,"a":1}],"a":true}'),
+    ]
+    joined = lambda order: F.concat(F.lit("{"), F.array_join(F.array(*[parts[i] for i in order]), ",\n "), F.lit("}"))
+    text = F.when(c("l_orderkey") % 3 == 0, joined([0, 1, 2, 3, 4, 5])).when(c("l_orderkey") % 3 == 1, joined([5, 4, 3, 2, 1, 0])).otherwise(joined([3, 0, 5, 2, 4, 1]))
+    text = F.when(c("l_orderkey") % 41 == 7, F.left(text, F.lit(30))).when(c("l_orderkey") % 41 == 8, "[1, 2]").otherwise(text)
+    return items.select("l_orderkey", text.alias("text"))
+
+
+def manifest_documents(spark, sf_dir):
+    """Digests of manifests in one spelling, what is read of them, and whether the written struct reads back equal."""
+    found = _manifest_texts(spark, sf_dir).withColumn("m", documents.manifest(F.col("text")))
+    again = documents.manifest(documents.written(F.col("m")))
+    sorted_m = F.col("m").withField("capabilities", F.array_sort("m.capabilities"))
+    return found.select(
+        "l_orderkey", documents.digest(F.col("text")).alias("digest"), F.col("m.package").alias("package"), F.col("m.version").alias("version"), F.col("m.signer").alias("signer"),
+        F.size("m.module_hashes").cast("long").alias("n_hashes"), documents.written(F.col("m")).alias("document"), (again == sorted_m).alias("reads_back"),
+    )
+
+
+CACHE_SQL = """
+WITH x AS (SELECT 'p' || (l_suppkey % 25) AS package, '0.' || (l_linenumber + 5) || '.0' AS version, 'M' || (l_partkey % 40) AS module, l_returnflag AS flag, l_partkey % {n} AS i FROM lineitem),
+kept AS (SELECT * FROM x WHERE NOT (package = 'p3' AND version = '0.9.0') AND (version <> '0.8.0' OR flag = 'A')),
+m AS (SELECT package, version, module, count(DISTINCT i) AS imports FROM kept GROUP BY ALL),
+counts AS (SELECT package, version, count(*) AS n_modules, CAST(sum(imports) AS BIGINT) AS n_imports, count(*) AS n_digests FROM m GROUP BY ALL),
+prior AS (SELECT package, max(version) AS prior FROM counts WHERE version <> '0.9.0' GROUP BY package)
+SELECT counts.*, prior FROM counts LEFT JOIN prior USING (package)"""
+
+MANIFEST_SQL = """
+WITH x AS (SELECT l_orderkey AS k, list({'h': printf('%X', l_partkey), 'n': l_linenumber} ORDER BY l_linenumber, l_partkey) AS made, l_orderkey % 41 NOT IN (7, 8) AS sound FROM lineitem GROUP BY 1),
+t AS (SELECT *, '"capabilities":' AS c, array_to_string([printf('{"content_hash":"%s","module":"M%d"}', e.h, e.n) FOR e IN made], ',') AS hashes,
+      CASE WHEN k % 4 = 0 THEN 'null' ELSE '"s' || (k % 7) || '"' END AS signer FROM x)
+SELECT k AS l_orderkey,
+  CASE WHEN sound THEN sha256('{"capabilities":["ssh","dns"],"extra":{"a":true,"z":[1,{"a":1,"b":2}]},"module_hashes":[' || hashes || '],"package":"p' || (k % 100) || '","signer":' || signer || ',"version":"1.' || len(made) || '.0"}')
+       WHEN k % 41 = 8 THEN sha256('[1,2]') END AS digest,
+  CASE WHEN sound THEN 'p' || (k % 100) END AS package, CASE WHEN sound THEN '1.' || len(made) || '.0' END AS version, CASE WHEN sound AND k % 4 <> 0 THEN 's' || (k % 7) END AS signer,
+  CASE WHEN sound THEN len(made) END AS n_hashes,
+  CASE WHEN sound THEN '{"capabilities":["dns","ssh"],"module_hashes":[' || hashes || '],"notes":null,"package":"p' || (k % 100) || '","signed_at":null,"signer":' || signer || ',"version":"1.' || len(made) || '.0"}' END AS document,
+  CASE WHEN sound THEN true END AS reads_back
+FROM t"""
+
+QUERIES |= {"profile_cache": profile_cache, "manifest_documents": manifest_documents}
+ORACLES |= {"profile_cache": CACHE_SQL.format(n=len(IMPORTS)), "manifest_documents": MANIFEST_SQL}

@@ -120,7 +120,7 @@ VERSION_SQL = """
 
 def semver_incidents(spark, sf_dir):
     found = incidents.matching(_versions(spark, sf_dir), _incidents(spark, sf_dir))
-    return found.select("l_orderkey", "l_linenumber", "name", "op", version_key(F.col("version"))["minor"].cast("long").alias("minor"))
+    return found.select("l_orderkey", "l_linenumber", "name", "op", version_key(F.col("version"))["minor"]["digits"].try_cast("long").alias("minor"))
 
 
 def promoted_findings(spark, sf_dir):
@@ -398,8 +398,9 @@ b AS (SELECT module, list(i) AS now, list(l_suppkey) AS hosts, CAST(floor(sum(l_
 j AS (SELECT b.module, a.module IS NOT NULL AS known, b.calls - coalesce(a.calls, 0) AS more,
       list_sort(list_distinct([i FOR i IN b.now IF {_DANGER} AND NOT list_contains(coalesce(a.was, []), i)])) AS fresh,
       list_sort(list_distinct(['host' || h || '.example.org' FOR h IN b.hosts IF h % 2 = 0 AND NOT list_contains(coalesce(a.hosts, []), h)])) AS atoms FROM b LEFT JOIN a ON a.module = b.module)
-SELECT module, 'beam_delta_dangerous_import' AS check_id, 'critical' AS severity, array_to_string(fresh[1:3], ',') AS examples FROM j WHERE len(fresh) > 0
-UNION ALL SELECT module, 'beam_delta_dispatch_spike', 'warning', '' FROM j WHERE known AND more >= 15
+SELECT module, 'beam_delta_dangerous_import' AS check_id, 'critical' AS severity, array_to_string(fresh[1:3], ',') AS examples FROM j WHERE known AND len(fresh) > 0
+UNION ALL SELECT module, 'beam_delta_dangerous_import', 'critical', unnest(fresh) FROM j WHERE NOT known
+UNION ALL SELECT module, 'beam_delta_dispatch_spike', 'warning', '' FROM j WHERE known AND more >= 3
 UNION ALL SELECT module, 'beam_delta_suspicious_atoms', 'warning', array_to_string(atoms[1:3], ',') FROM j WHERE known AND len(atoms) > 0
 UNION ALL SELECT module, 'beam_delta_module_added', 'warning', '' FROM j WHERE NOT known""",
     "prior_cached_versions": f"""WITH {VERSION_SQL},

@@ -1,7 +1,8 @@
 """Call facts of source files: one row for each remote call, from a small tokenizer.
 
-Strings and comments are masked first, so nothing inside them counts. Aliases hold for the rest of
-the file, whatever block they stand in. The enclosing definition follows from indentation: macro
+Strings and comments are masked first, so nothing inside them counts. Aliases and variables that are bound to a module
+(``m = System``, ``m = :os``) hold for the rest of the file from where they stand, whatever block that is; the
+latest one counts. The enclosing definition follows from the blocks, however they are laid out: macro
 bodies and module bodies run at compile time, function bodies don't. An unqualified call counts where
 an earlier import names a module that is listed with that function. A file that is no text gives no rows.
 """
@@ -18,7 +19,6 @@ from pyspark.sql.functions import udtf
 MASKED = re.compile(r'"""(?:\\.|(?!""").)*"""|"(?:\\.|[^"\\])*"|#(?!\{)[^\n]*', re.S)
 ALIAS = re.compile(r"^\s*alias\s+([A-Z][\w.]*)(?:\s*,\s*as:\s*([A-Z]\w*))?", re.M)
 CALL = re.compile(r"(?<![\w.:@])(:[a-z]\w*|[A-Z]\w*(?:\.[A-Z]\w*)*)\.([a-z_]\w*[?!]?)(\(?)")
-DEFINES = re.compile(r"^(\s*)(defmacrop?|defp?)\b")
 LITERAL = re.compile(r'"((?:\\.|[^"\\])*)"|~c"((?:\\.|[^"\\])*)"')
 APPLY = re.compile(r"(?<![\w.:@])apply\(")
 IMPORT = re.compile(r"^\s*import\s+(:?[A-Za-z][\w.]*)", re.M)
@@ -48,20 +48,27 @@ IMPORTABLE = (
 )
 IMPORTED = {(module, name) for module, names in IMPORTABLE for name in names.split()}
 FACTS = "line int, body int, module string, func string, empty_call boolean, literals array<string>, compile_time boolean"
+BOUND = re.compile(r"(?<![\w.:@&%])([a-z_]\w*[?!]?)\s*=(?![=~>])\s*(:[a-z]\w*[?!]?|[A-Z]\w*(?:\.[A-Z]\w*)*)(?![\w(:?!]|\.[a-z_{(])")
+BOUND_CALL = re.compile(r"(?<![\w.:@&%])([a-z_]\w*)\.([a-z_]\w*[?!]?)(\(?)")
+BLOCKS = re.compile(r"(?<![\w.:@&])(?:(defmacrop?|defp?)(?=[\s(])|(do|fn|end)\b(?!:)|(do:))")
+GOES_ON = re.compile(r"(?:[,=(\[{+\-*/|<>&]|\b(?:do|fn|when|and|or|not|in))\s*$")
 
 
 def masked(content: str) -> str:
     return MASKED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), content)
 
 
-def arguments(plain: str, start: int, most: int = 2000) -> tuple[int, int]:
-    """The extent of a bracketed argument list that opens just before ``start``."""
+def arguments(plain: str, start: int) -> tuple[int, int]:
+    """The extent of a bracketed argument list that opens just before ``start``, up to its closing bracket."""
     depth = 1
-    for at in range(start, min(len(plain), start + most)):
-        depth += (plain[at] in "([{") - (plain[at] in ")]}")
+    for m in BRACKET.finditer(plain, start):
+        depth += 1 if m[0] in "([{" else -1
         if not depth:
-            return start, at
-    return start, min(len(plain), start + most)
+            return start, m.start()
+    return start, len(plain)
+
+
+BRACKET = re.compile(r"[()\[\]{}]")
 
 
 def top_level(plain: str) -> list[str]:
@@ -76,37 +83,126 @@ def top_level(plain: str) -> list[str]:
     return [x.strip() for x in out]
 
 
+def _one_liner(plain: str, at: int) -> int:
+    """Where an expression that begins at a place ends: at a line's end outside brackets and blocks that doesn't go on."""
+    depth = 0
+    for m in re.finditer(r"[()\[\]{}\n]|(?<![\w.:@])(?:do|fn|end)\b(?!:)", plain[at:]):
+        if m[0] == "\n":
+            line = plain[at : at + m.start()].rsplit("\n", 1)[-1]
+            after = plain[at + m.end() :].lstrip()
+            if depth <= 0 and line.strip() and not GOES_ON.search(line) and not after.startswith(("|>", "++", "<>", "&&", "||", "and ", "or ")):
+                return at + m.start()
+        else:
+            depth += 1 if m[0] in ("(", "[", "{", "do", "fn") else -1
+            if depth < 0:
+                return at + m.start()
+    return len(plain)
+
+
+class Definitions:
+    """The definitions of a text by its blocks: each one's extent, kind and first line, and the one around it."""
+
+    def __init__(self, plain: str):
+        found: list[list] = []  # start, end, kind
+        open_: list[list | None] = []
+        pending: list | None = None
+        for m in BLOCKS.finditer(plain):
+            if m[1]:
+                pending = [m.start(), len(plain), m[1]]
+            elif m[2] == "end":
+                if open_ and (held := open_.pop()):
+                    held[1] = m.end()
+            elif m[3]:
+                if pending:
+                    pending[1] = _one_liner(plain, m.end())
+                    found.append(pending)
+                    pending = None
+            else:
+                taken = pending if m[2] == "do" else None
+                open_.append(taken)
+                if taken:
+                    found.append(taken)
+                    pending = None
+        self.spans = sorted(found)
+        self.starts = [x[0] for x in self.spans]
+        self.around, stack = [], []
+        for i, span in enumerate(self.spans):
+            while stack and self.spans[stack[-1]][1] <= span[0]:
+                stack.pop()
+            self.around.append(stack[-1] if stack else -1)
+            stack.append(i)
+
+    def at(self, place: int) -> tuple[int, bool]:
+        """(start of the innermost definition around a place or -1, whether its code runs at compile time)."""
+        i = bisect.bisect_right(self.starts, place) - 1
+        while i >= 0 and self.spans[i][1] <= place:
+            i = self.around[i]
+        if i < 0:
+            return -1, True
+        inner, macro = self.starts[i], False
+        while i >= 0:
+            macro |= self.spans[i][2].startswith("defmacro")
+            i = self.around[i]
+        return inner, macro
+
+
+class Names:
+    """What short names mean, in the order of the text and for the rest of it: aliases, and variables bound to modules."""
+
+    def __init__(self, plain: str):
+        self.aliases = self._by_name((m[2] or m[1].rsplit(".", 1)[-1], m.start(), m[1]) for m in ALIAS.finditer(plain))
+        bound = ((m[1], m.start(), m[2]) for m in BOUND.finditer(plain))
+        self.bound = self._by_name((v, at, x.lstrip(":")) for v, at, x in bound if x not in (":nil", ":true", ":false"))
+
+    @staticmethod
+    def _by_name(found) -> dict[str, tuple[list[int], list[str]]]:
+        out: dict[str, tuple[list[int], list[str]]] = {}
+        for name, at, module in found:
+            places, modules = out.setdefault(name, ([], []))
+            places.append(at)
+            modules.append(module)
+        return out
+
+    @staticmethod
+    def _last(held: dict, name: str, place: int) -> str | None:
+        places, modules = held.get(name, ((), ()))
+        i = bisect.bisect_left(places, place) - 1
+        return modules[i] if i >= 0 else None
+
+    def module(self, named: str, place: int) -> str:
+        """The module of a remote call: an alias stands for the head of a name, not for an Erlang module."""
+        if named[0] == ":":
+            return named[1:]
+        head, _, tail = named.partition(".")
+        whole = self._last(self.aliases, head, place) or head
+        return whole + ("." + tail if tail else "")
+
+    def variable(self, name: str, place: int) -> str | None:
+        return self._last(self.bound, name, place)
+
+
 @udtf(returnType=FACTS)
 class CallFacts:
     def eval(self, content: str):
         if not content:
             return
         plain = masked(content)
-        aliases = [(m.start(), m[2] or m[1].rsplit(".", 1)[-1], m[1]) for m in ALIAS.finditer(plain)]
-        starts, kinds, open_ = [0], [], []  # kinds: the enclosing definition of each line and its line
-        for text in plain.split("\n"):
-            starts.append(starts[-1] + len(text) + 1)
-            if text.strip():
-                indent = len(text) - len(text.lstrip())
-                while open_ and open_[-1][0] >= indent:
-                    open_.pop()
-                if m := DEFINES.match(text):
-                    open_.append((indent, m[2], len(starts) - 1))
-            kinds.append(open_[-1][1:] if open_ else ("", 0))
+        names, defined = Names(plain), Definitions(plain)
+        lines = [0, *[m.end() for m in re.finditer("\n", plain)]]
+
+        def fact(place: int, module: str, func: str, lo: int, hi: int, bare: bool = False) -> tuple:
+            start, compile_time = defined.at(place)
+            body = bisect.bisect_right(lines, start) if start >= 0 else 0
+            given = [a or b for a, b in LITERAL.findall(content, lo, hi)]
+            return bisect.bisect_right(lines, place), body, module, func, not bare and not content[lo:hi].strip(), given, compile_time
+
         for m in CALL.finditer(plain):
-            line = bisect.bisect_right(starts, m.start()) - 1
-            module = m[1].lstrip(":")
-            head, _, tail = module.partition(".")
-            for at, short, whole in aliases:
-                if at < m.start() and short == head and m[1][0] != ":":
-                    module = whole + ("." + tail if tail else "")
-            given, empty = [], False
-            if m[3]:
-                lo, hi = arguments(plain, m.end())
-                empty = not content[lo:hi].strip()
-                given = [a or b for a, b in LITERAL.findall(content[lo:hi])]
-            kind, body = kinds[line]
-            yield line + 1, body, module, m[2], empty, given, not kind.startswith("def") or kind.startswith("defmacro")
+            lo, hi = arguments(plain, m.end()) if m[3] else (m.end(), m.end())
+            yield fact(m.start(), names.module(m[1], m.start()), m[2], lo, hi, not m[3])
+        for m in BOUND_CALL.finditer(plain) if names.bound else ():
+            if module := names.variable(m[1], m.start()):
+                lo, hi = arguments(plain, m.end()) if m[3] else (m.end(), m.end())
+                yield fact(m.start(), module, m[2], lo, hi, not m[3])
         imports = [(m.start(), m[1].lstrip(":")) for m in IMPORT.finditer(plain)]
         # a string after the name is blank in ``plain``, so names are sought in the text and kept where code stands
         for m in BARE.finditer(content) if imports else ():
@@ -114,17 +210,14 @@ class CallFacts:
                 continue
             module = next((x for at, x in imports if at < m.start() and (x, m[1]) in IMPORTED), None)
             if module:
-                line = bisect.bisect_right(starts, m.start()) - 1
-                lo, hi = arguments(plain, m.end()) if m[2] == "(" else (m.end(), starts[line + 1] - 1)
-                kind, body = kinds[line]
-                given = [a or b for a, b in LITERAL.findall(content[lo:hi])]
-                yield line + 1, body, module, m[1], not content[lo:hi].strip(), given, not kind.startswith("def") or kind.startswith("defmacro")
+                end = lines[bisect.bisect_right(lines, m.start())] - 1 if bisect.bisect_right(lines, m.start()) < len(lines) else len(plain)
+                lo, hi = arguments(plain, m.end()) if m[2] == "(" else (m.end(), end)
+                yield fact(m.start(), module, m[1], lo, hi)
         for m in APPLY.finditer(plain):
-            given = top_level(plain[slice(*arguments(plain, m.end()))])
+            lo, hi = arguments(plain, m.end())
+            given = top_level(plain[lo:hi])
             if len(given) == 3 and not all(re.fullmatch(r":[a-z_]\w*[?!]?", x) for x in given[:2]):
-                line = bisect.bisect_right(starts, m.start()) - 1
-                kind, body = kinds[line]
-                yield line + 1, body, "Kernel", "apply_dynamic", False, [], not kind.startswith("def") or kind.startswith("defmacro")
+                yield fact(m.start(), "Kernel", "apply_dynamic", lo, lo, True)
 
 
 @udtf(returnType="line int, text string")
@@ -143,5 +236,5 @@ def literals(found: DataFrame) -> DataFrame:
 
 
 def call_facts(found: DataFrame) -> DataFrame:
-    """path and the facts of each call in (path, content) rows."""
-    return found.select("path", "content").lateralJoin(CallFacts(F.col("content").outer())).drop("content")
+    """dep (where ``found`` has it), path and the facts of each call in (path, content) rows."""
+    return found.select(*[c for c in ("dep", "path") if c in found.columns], "content").lateralJoin(CallFacts(F.col("content").outer())).drop("content")
