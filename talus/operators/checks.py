@@ -53,6 +53,11 @@ def _any(literals: Column, parts: tuple[str, ...], upper: bool = False) -> Colum
     return F.exists(literals, hit)
 
 
+def _keys(found: DataFrame) -> list[str]:
+    """A file is named by its package, where the frame has it, and its path."""
+    return [c for c in ("dep", "path") if c in found.columns]
+
+
 def call_findings(facts: DataFrame) -> DataFrame:
     """path, line, check_id, severity, compile_time: facts joined with the pattern table, exact and wildcard."""
     spark = facts.sparkSession
@@ -68,19 +73,19 @@ def call_findings(facts: DataFrame) -> DataFrame:
         .when((F.col("check_id") == "env_access") & (F.col("func") == "get_env") & F.col("empty_call"), "critical")
         .otherwise(plain)
     )
-    return found.select("path", "line", "check_id", severity.alias("severity"), "compile_time")
+    return found.select(*_keys(found), "line", "check_id", severity.alias("severity"), "compile_time")
 
 
 def decode_then_eval(facts: DataFrame) -> DataFrame:
     """path, body of the definitions that both decode base 64 and evaluate a string."""
     has = lambda m, f: F.max(F.when((F.col("module") == m) & (F.col("func") == f), 1).otherwise(0)) == 1
-    both = facts.groupBy("path", "body").agg(has("Base", "decode64").alias("decodes"), has("Code", "eval_string").alias("evaluates"))
-    return both.where("decodes and evaluates").select("path", "body")
+    both = facts.groupBy(*_keys(facts), "body").agg(has("Base", "decode64").alias("decodes"), has("Code", "eval_string").alias("evaluates"))
+    return both.where("decodes and evaluates").select(*_keys(facts), "body")
 
 
 def dense_literals(texts: DataFrame, least: int = 40, bits: float = 5.5, spaces: float = 0.1) -> DataFrame:
     """path, line, entropy of string literals (path, line, text) that look encoded."""
     blank = F.regexp_count("text", F.lit(" ")) / F.char_length("text")
     likely = texts.where((F.octet_length("text") > least) & (blank <= spaces) & ~F.startswith("text", F.lit("data:")))
-    keyed = likely.select(F.struct("path", "line", F.xxhash64("text").alias("at")).alias("key"), "text").dropDuplicates(["key"])
-    return byte_entropy(keyed, "key", "text").where(F.col("entropy") > bits).select("key.path", "key.line", "entropy")
+    keyed = likely.select(F.struct(*_keys(texts), "line", F.xxhash64("text").alias("at")).alias("key"), "text").dropDuplicates(["key"])
+    return byte_entropy(keyed, "key", "text").where(F.col("entropy") > bits).select(*[f"key.{c}" for c in _keys(texts)], "key.line", "entropy")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talus.plans import corpus, events, modules, packages, risk
+from talus.plans import corpus, events, modules, packages, risk, sources
 
-MODULES = (risk, events, corpus, packages, modules)
+MODULES = (risk, events, corpus, packages, modules, sources)
 
 
 def queries() -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talus.functions import text
 from talus.operators import builtin, compare, graph, history, names
+from talus.operators.order import numbered
 from talus.session import table
 
 # Name and pattern of the link checks.
@@ -141,8 +142,8 @@ def _whole_tree(spark, sf_dir, source):
     """Every document of a source: its place by doc_id is the path, its hash stands for the content."""
     docs = table(spark, sf_dir, "documents").where(F.col("source") == source)
     held = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content"))
-    place = F.row_number().over(Window.partitionBy(F.lit(source)).orderBy("doc_id", "content"))
-    return held.select(place.cast("string").alias("path"), "content")
+    placed = numbered(held, "doc_id", "content")
+    return placed.select(F.col("ordinal").cast("string").alias("path"), "content")
 
 
 def file_set_diff_whole(spark, sf_dir):

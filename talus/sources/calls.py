@@ -231,8 +231,8 @@ class Literals:
 
 
 def literals(found: DataFrame) -> DataFrame:
-    """path, line and text of each string literal in (path, content) rows."""
-    return found.select("path", "content").lateralJoin(Literals(F.col("content").outer())).drop("content")
+    """dep (where ``found`` has it), path, line and text of each string literal in (path, content) rows."""
+    return found.select(*[c for c in ("dep", "path") if c in found.columns], "content").lateralJoin(Literals(F.col("content").outer())).drop("content")
 
 
 def call_facts(found: DataFrame) -> DataFrame:
