@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talus.plans import corpus, events, modules, packages, risk, sources
+from talus.plans import corpus, events, modules, packages, registry, risk, sources
 
-MODULES = (risk, events, corpus, packages, modules, sources)
+MODULES = (risk, events, corpus, packages, modules, sources, registry)
 
 
 def queries() -> dict:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.operators import order, scan
+from talus.operators import order, prompts, scan
 from talus.session import table
 
 HEAD = "defmodule M%d do\n  alias String, as: S\n  m = System\n"
@@ -75,3 +75,45 @@ SELECT *, CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 50 THEN
 
 QUERIES = {"source_findings": source_findings, "scan_sources": scan_sources}
 ORACLES = {"source_findings": FOUND_SQL + "\nSELECT * FROM found", "scan_sources": SCAN_SQL}
+
+
+def finding_snippets(spark, sf_dir):
+    """Each finding's line with the lines beside it."""
+    texts = source_texts(spark, sf_dir)
+    found = prompts.snippets(scan.findings(scan.Facts.of(texts)), texts, 1)
+    return found.select("dep", "path", F.col("line").cast("long").alias("line"), "check_id", "snippet")
+
+
+def review_prompts(spark, sf_dir):
+    """The prompt of every package with findings, and its length and digest."""
+    texts = source_texts(spark, sf_dir)
+    found = scan.correlated(scan.findings(scan.Facts.of(texts))).withColumn("description", F.concat(F.lit("found "), "check_id"))
+    packages = texts.select("dep").distinct().select("dep", F.lit("1.0.0").alias("version"), F.lit("hex").alias("source"))
+    made = prompts.prompts(found, texts, packages)
+    return made.select("dep", F.char_length("prompt").cast("long").alias("length"), F.sha2("prompt", 256).alias("digest"))
+
+
+def _texts_sql() -> str:
+    """SQL of the files' texts."""
+    kinds = ", ".join("printf('" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "', n)" if "%d" in t else "'" + t + "'" for t in TEXTS)
+    head = HEAD.replace("\n", "' || chr(10) || '")
+    return f"""
+texts AS (SELECT k, any_value(dep) AS s, printf('{head}', k) || string_agg([{kinds}][kind + 1], '' ORDER BY n, p) || 'end' || chr(10) AS content FROM placed GROUP BY k),
+files AS (SELECT 'p' || s AS dep, 'deps/x/lib/' || CASE WHEN k % 101 = 0 THEN 'mix/' ELSE '' END || 'm' || k || '.ex' AS path, content FROM texts)"""
+
+
+SNIPPET_SQL = FOUND_SQL + "," + _texts_sql() + r"""
+SELECT dep, path, line, check_id, regexp_replace(regexp_replace(array_to_string(string_split(content, chr(10))[line - 1 : line + 1], chr(10)), '^\s+', ''), '\s+$', '') AS snippet
+FROM found JOIN files USING (dep, path)"""
+
+PROMPT_SQL = FOUND_SQL + "," + _texts_sql() + """,
+said AS (SELECT dep, path, line, check_id, '[' || severity || CASE WHEN compile_time THEN ' [COMPILE-TIME]' ELSE '' END || '] found ' || check_id || chr(10) || '     File: ' || path || ':' || line AS said,
+         row_number() OVER (PARTITION BY dep ORDER BY path, line, check_id) AS i FROM found),
+listed AS (SELECT dep, string_agg('  ' || i || '. ' || said, chr(10) ORDER BY i) AS findings FROM said GROUP BY dep),
+shown AS (SELECT dep, string_agg('--- ' || path || ' ---' || chr(10) || content, chr(10) || chr(10) ORDER BY path) AS files FROM files SEMI JOIN found USING (dep, path) GROUP BY dep),
+made AS (SELECT dep, 'Package ' || dep || ' 1.0.0 (hex)' || chr(10) || chr(10) || 'Findings:' || chr(10) || findings || chr(10) || chr(10) || 'Flagged files:' || chr(10) || files || chr(10) || chr(10)
+         || 'Judge each finding, name what else is risky, and give an overall risk.' || chr(10) AS prompt FROM listed JOIN shown USING (dep))
+SELECT dep, length(prompt) AS length, sha256(prompt) AS digest FROM made"""
+
+QUERIES |= {"finding_snippets": finding_snippets, "review_prompts": review_prompts}
+ORACLES |= {"finding_snippets": SNIPPET_SQL, "review_prompts": PROMPT_SQL}
