@@ -52,3 +52,14 @@ def decoded_key(kind: str, text: Column) -> Column:
     body = F.translate(F.substr(text, F.lit(len(head) + 1)), "-_", "+/")
     raw = F.when(F.startswith(text, F.lit(head)) & body.rlike("^[A-Za-z0-9+/]{43}$"), F.unbase64(F.concat(body, F.lit("="))))
     return F.when(F.octet_length(raw) == 32, raw)
+
+
+# Stages that stand in a finding's path, which concern the lock file.
+STAGES = ("version_diff", "version_diff_lookback", "temporal_reputation")
+
+
+def report_uri(path: Column) -> Column:
+    """Where a report points: the lock file for findings of a stage, else what follows the first ``/deps/``, else the path."""
+    at = F.instr(path, "/deps/")
+    rest = F.concat(F.lit("deps/"), F.substring(path, at + F.lit(6), F.char_length(path)))
+    return F.when(path.isin(*STAGES), "mix.lock").when(at > 0, rest).otherwise(path)

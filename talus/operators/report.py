@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SARIF_VERSION = "2.1.0"
@@ -12,16 +12,32 @@ def _level():
     return F.when(F.col("severity") == "critical", "error").when(F.col("severity") == "warning", "warning").otherwise("note")
 
 
-def sarif(found: DataFrame) -> DataFrame:
+def _fixes() -> Column:
+    """The patches of a package that help with a finding: removal with any, renames with names, others with their own category."""
+    helps = lambda p: (
+        (p["action"] == "remove_dependency") | (p["action"] == "rename_package") & F.col("category").isin("metadata", "phantom_package") | (p["category"] == F.col("category"))
+    )
+    shown = lambda p: F.struct(
+        F.struct(p["rationale"].alias("text")).alias("description"), F.struct(*[p[c].alias(c) for c in ("action", "target", "version", "verified", "diff")]).alias("properties")
+    )
+    fixes = F.transform(F.filter("patches", helps), shown)
+    return F.when(F.size(fixes) > 0, fixes)
+
+
+def sarif(found: DataFrame, patches: DataFrame | None = None) -> DataFrame:
     """dep and its SARIF document, from (dep, path, line, check_id, severity, description).
 
-    One document a package: a package's findings are gathered, never all findings of a scan.
+    One document a package: a package's findings are gathered, never all findings of a scan. With ``patches`` (dep, action,
+    target, version, verified, diff, rationale, category) results carry the fixes that help with them, by category.
     """
+    if patches is not None:
+        parts = F.struct("action", "target", "version", "verified", "diff", "rationale", "category")
+        found = found.join(patches.groupBy("dep").agg(F.sort_array(F.collect_list(parts)).alias("patches")), "dep", "left")
     place = F.struct(
         F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.greatest(F.lit(1), "line").alias("startLine")).alias("region")).alias("physicalLocation")
     )
     result = F.struct(
-        F.col("check_id").alias("ruleId"), _level().alias("level"), F.struct(F.col("description").alias("text")).alias("message"), F.array(place).alias("locations")
+        F.col("check_id").alias("ruleId"), _level().alias("level"), F.struct(F.col("description").alias("text")).alias("message"), F.array(place).alias("locations"), *([] if patches is None else [_fixes().alias("fixes")])
     )
     held = found.groupBy("dep").agg(F.array_sort(F.collect_list(F.struct("path", "line", "check_id", result.alias("result")))).alias("all"))
     results = F.transform("all", lambda x: x["result"])
@@ -49,6 +65,23 @@ def terminal(scores: DataFrame, found: DataFrame) -> DataFrame:
     return scores.join(each, "dep", "left").select("risk_score", "dep", text.alias("text")).orderBy(F.desc("risk_score"), "dep")
 
 
+def notes_text(notes: DataFrame) -> DataFrame:
+    """package, text: what each package with an allowance reaches that has findings (package, dep, n_findings, categories)."""
+    line = F.format_string("    %s: %d findings (%s)", "dep", "n_findings", F.array_join("categories", ", "))
+    held = notes.groupBy("package").agg(F.sort_array(F.collect_list(F.struct("dep", line.alias("line")))).alias("lines"))
+    return held.select("package", F.concat_ws("\n", F.concat(F.lit("  "), "package"), F.transform("lines", lambda x: x["line"])).alias("text")).orderBy("package")
+
+
+def summary_text(scores: DataFrame) -> DataFrame:
+    """text: packages, findings, packages by level and the highest score, in one row (finding_count, risk_score, risk_level)."""
+    levels = [F.count_if(F.col("risk_level") == x) for x in ("critical", "high", "medium", "low")]
+    line = F.format_string(
+        "%d packages, %d findings: %d critical, %d high, %d medium, %d low; highest score %d",
+        F.count("*"), F.coalesce(F.sum("finding_count"), F.lit(0)), *levels, F.coalesce(F.max("risk_score"), F.lit(0)),
+    )
+    return scores.agg(line.alias("text"))
+
+
 def write_report(found: DataFrame, path: str, form: str) -> None:
     """Write findings as sarif, json or diagnostics files below ``path``."""
     if form == "sarif":

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talus.plans import corpus, events, modules, packages, registry, risk, sources
+from talus.plans import corpus, events, modules, packages, registry, risk, sources, trust
 
-MODULES = (risk, events, corpus, packages, modules, sources, registry)
+MODULES = (risk, events, corpus, packages, modules, sources, registry, trust)
 
 
 def queries() -> dict:
