@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from talus.operators import checks, correlate, hooks, incidents
 from talus.operators.scoring import package_scores
 from talus.session import written
-from talus.sources import calls
-from talus.sources import hooks as hook_source
+from talus.sources.facts import file_facts, of_kind
 
 FINDING = ("dep", "path", "line", "check_id", "category", "severity", "compile_time", "evidence")
 # The category of each check whose name isn't its category.
@@ -41,8 +40,9 @@ class Facts:
 
     @classmethod
     def of(cls, sources: DataFrame) -> Facts:
-        held = sources.select("dep", "path", "content")
-        return cls(*(written(read(held), "facts") for read in (calls.call_facts, calls.literals, hook_source.hooks)))
+        """One pass over the sources; the facts are stored, and each kind is read back by its own columns."""
+        held = written(file_facts(sources), "facts")
+        return cls(*(of_kind(held, fact) for fact in ("call", "literal", "hook")))
 
 
 Check = Callable[[Facts], DataFrame]
