@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talus.plans import corpus, events, modules, packages, registry, risk, sources, trust
+from talus.plans import corpus, events, modules, packages, registry, risk, service, sources, trust
 
-MODULES = (risk, events, corpus, packages, modules, sources, registry, trust)
+MODULES = (risk, events, corpus, packages, modules, sources, registry, trust, service)
 
 
 def queries() -> dict:
