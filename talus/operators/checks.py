@@ -89,3 +89,16 @@ def dense_literals(texts: DataFrame, least: int = 40, bits: float = 5.5, spaces:
     likely = texts.where((F.octet_length("text") > least) & (blank <= spaces) & ~F.startswith("text", F.lit("data:")))
     keyed = likely.select(F.struct(*_keys(texts), "line", F.xxhash64("text").alias("at")).alias("key"), "text").dropDuplicates(["key"])
     return byte_entropy(keyed, "key", "text").where(F.col("entropy") > bits).select(*[f"key.{c}" for c in _keys(texts)], "key.line", "entropy")
+
+
+def by_context(context: Column, path: Column) -> Column:
+    """Whether code runs at compile time by the blocks around it (module_body, def, defmacro, module_attribute, quote): in a
+    manifest, an attribute or a macro, or in a module's body outside of functions; not elsewhere."""
+    has = lambda c: F.array_contains(context, c)
+    inside = has("module_attribute") | has("defmacro") | has("module_body") & ~has("def")
+    return F.coalesce(F.endswith(path, F.lit("mix.exs")), F.lit(False)) | inside
+
+
+def raised(found: DataFrame) -> DataFrame:
+    """Warnings about code that runs at compile time become critical."""
+    return found.withColumn("severity", F.when(F.col("compile_time") & (F.col("severity") == "warning"), "critical").otherwise(F.col("severity")))

@@ -13,7 +13,7 @@ from pyspark.sql.functions import udtf
 from talus.sources import terms
 from talus.sources.terms import Atom, Unread, balanced, declared_capabilities, dependency_names, tokens
 
-CAPABILITIES_KEY = "vet_capabilities"
+CAPABILITIES_KEY = "capabilities"
 
 
 def _text(value: object) -> str | None:
@@ -56,11 +56,11 @@ class DeclaredNames:
 
 @udtf(returnType="declared array<string>, reason string")
 class Capabilities:
-    def eval(self, content: str):
+    def eval(self, content: str, key: str):
         try:
             found = tokens(content or "")
             balanced(found)
-            yield declared_capabilities(found, CAPABILITIES_KEY), None
+            yield declared_capabilities(found, key), None
         except (Unread, RecursionError) as e:
             yield None, str(e) or type(e).__name__
 
@@ -100,6 +100,6 @@ def declared_names(found: DataFrame) -> DataFrame:
     return read_manifests(found.select("path", "content")).where("reason is null").drop("reason")
 
 
-def read_capabilities(found: DataFrame) -> DataFrame:
-    """``found`` with the declared capabilities (null: undeclared), and the reason for a file that can't be read."""
-    return _read(found, Capabilities)
+def read_capabilities(found: DataFrame, key: str = CAPABILITIES_KEY) -> DataFrame:
+    """``found`` with the capabilities declared under ``key`` (null: undeclared), and the reason for a file that can't be read."""
+    return found.lateralJoin(Capabilities(F.col("content").outer(), F.lit(key))).drop("content")

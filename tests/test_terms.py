@@ -37,7 +37,7 @@ def test_lock_shapes_and_the_side_output(spark):
 
 MANIFEST = """
 defmodule M do
-  def project, do: [app: :m, deps: deps(), vet_capabilities: [:network, :file_read, "x"]]
+  def project, do: [app: :m, deps: deps(), scan_capabilities: [:network, :file_read, "x"]]
   defp deps do
     base = [{:phoenix, "~> 1.7"}, {:ecto, ">= 0", only: :dev, path: "p"}]
     if Mix.env() == :dev do
@@ -58,14 +58,14 @@ def test_dependency_names_of_the_whole_body():
 
 
 def test_capabilities():
-    assert declared_capabilities(tokens(MANIFEST), "vet_capabilities") == ["network", "file_read"]
-    assert declared_capabilities(tokens("@vet_capabilities [:dns]\n@vet_capabilities [:ssh, :native]"), "vet_capabilities") == ["ssh", "native"]
-    assert declared_capabilities(tokens("x = 1"), "vet_capabilities") is None
+    assert declared_capabilities(tokens(MANIFEST), "scan_capabilities") == ["network", "file_read"]
+    assert declared_capabilities(tokens("@scan_capabilities [:dns]\n@scan_capabilities [:ssh, :native]"), "scan_capabilities") == ["ssh", "native"]
+    assert declared_capabilities(tokens("x = 1"), "scan_capabilities") is None
 
 
 def test_manifest_side_output(spark):
     found = spark.createDataFrame([("a", MANIFEST), ("cut", MANIFEST[:300]), ("null", None)], "path string, content string")
     assert sorted(r.name for r in declared_names(found).collect()) == ["ecto", "jason", "loc", "phoenix", "tool"]
     assert [r.path for r in read_manifests(found).where("reason is not null").collect()] == ["cut"]
-    caps = {r.path: (r.declared, r.reason is None) for r in read_capabilities(found).collect()}
+    caps = {r.path: (r.declared, r.reason is None) for r in read_capabilities(found, "scan_capabilities").collect()}
     assert caps == {"a": (["network", "file_read"], True), "cut": (None, False), "null": (None, True)}
