@@ -5,15 +5,13 @@ No table holds compiled modules, so each order becomes a file: its items are ins
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions import documents
 from talus.operators import cache, profiles
 from talus.plans.packages import IMPORTS, _import
-from talus.session import shared_dir, table
+from talus.session import scratch, table
 from talus.sources.beam import read_modules
 
 
@@ -118,7 +116,7 @@ def profile_cache(spark, sf_dir):
     whole = found.groupBy("package", "version", "module").agg(
         F.array_distinct(F.flatten(F.collect_list("imports"))).alias("imports"), F.sum("dispatch").cast("int").alias("dispatch"), F.first("exports").alias("exports"), F.first("atoms").alias("atoms")
     )
-    root = f"{shared_dir(spark)}/profiles-{uuid.uuid4().hex}"
+    root = scratch(spark, "profiles")
     cache.save(whole, root)
     cache.save(found.where("version = '0.8.0' and l_returnflag = 'A'").drop("l_returnflag"), root)
     cache.drop(spark, root, "p3", "0.9.0")

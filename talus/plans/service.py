@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.operators.scoring import package_scores
-from talus.session import shared_dir, table
+from talus.session import scratch, table
 from talus.streaming import service
 
 FILES, FILES_PER_BATCH = 8, 3
@@ -34,7 +32,7 @@ def _scores(spark, sf_dir) -> DataFrame:
 
 def publish_service(spark, sf_dir):
     """Every row of every sink, and the newest scan of each package version, after the stream has run in batches."""
-    root = f"{shared_dir(spark)}/service-{uuid.uuid4().hex}"
+    root = scratch(spark, "service")
     _lines(spark, sf_dir).repartition(FILES).write.text(f"{root}/in")
     service.start(spark, f"{root}/in", _scores(spark, sf_dir), f"{root}/out", f"{root}/checkpoint", FILES_PER_BATCH).awaitTermination()
     sink = lambda name: service.sink(spark, f"{root}/out", name)

@@ -79,6 +79,15 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/talus-{label}-{uuid.uuid4().hex}"
+    files, where = _file_system(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
 def tables_written() -> int:
     """How many tables of ``written`` stand: a mark for ``drop_written``."""
     return len(_standing)
