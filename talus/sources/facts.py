@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from talus.sources.calls import CallFacts, Literals
-from talus.sources.hooks import Hooks
-
 #: The columns of each kind of fact, in the order that its reader gives them.
 COLUMNS = {
     "call": ("line", "body", "module", "func", "empty_call", "literals", "compile_time"),
@@ -25,6 +22,10 @@ _ORDER = [c.split()[0] for c in FACT.split(", ")[1:]]
 @udtf(returnType=FACT)
 class FileFacts:
     def eval(self, content: str):
+        # imported by the task: the readers of a session in use hold what can't be sent
+        from talus.sources.calls import CallFacts, Literals
+        from talus.sources.hooks import Hooks
+
         for fact, reader in (("call", CallFacts), ("literal", Literals), ("hook", Hooks)):
             for row in reader.func().eval(content) or ():
                 given = dict(zip(COLUMNS[fact], row))
