@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talus.operators import graph
+
 # Package and the category that is allowed in it.
 ALLOWED = """
 rustler system_exec
@@ -187,13 +189,23 @@ def user_allowed(configs: DataFrame) -> DataFrame:
     return entries.select(part(r"^\{\s*:(\w+)").alias("dep"), part(r"^\{\s*:\w+\s*,\s*:(\w+)").alias("category"), reason.alias("reason"))
 
 
+def _counted(found: DataFrame) -> DataFrame:
+    return found.groupBy("dep").agg(F.count("*").alias("n_findings"), F.array_sort(F.collect_set("category")).alias("categories"))
+
+
 def transitive_notes(reached: DataFrame, found: DataFrame, allowances: DataFrame) -> DataFrame:
     """package, dep, n_findings, categories: what packages with an allowance reach that has findings.
 
     ``reached`` holds (package, dep) for each package and all it depends on, directly or not. Findings are
     counted before the join, so one package with very many of them is one row in it.
     """
-    counts = found.groupBy("dep").agg(F.count("*").alias("n_findings"), F.array_sort(F.collect_set("category")).alias("categories"))
     parents = allowances.select(F.col("dep").alias("package")).distinct()
     notes = reached.where("package <> dep").select("package", "dep").distinct().join(parents, "package", "left_semi")
-    return notes.join(counts, "dep").select("package", "dep", "n_findings", "categories")
+    return notes.join(_counted(found), "dep").select("package", "dep", "n_findings", "categories")
+
+
+def notes_along(edges: DataFrame, found: DataFrame, allowances: DataFrame) -> DataFrame:
+    """As ``transitive_notes`` over all that the ``edges`` (src, dst) lead to: counts meet the classes of ``graph.reach``, whose pairs are made last and never stored."""
+    roots, members = graph.reach(allowances.select(F.col("dep").alias("node")), edges)
+    noted = members.join(_counted(found).withColumnRenamed("dep", "node"), "node")
+    return graph.paired(roots, noted).select(F.col("root").alias("package"), F.col("node").alias("dep"), "n_findings", "categories")

@@ -113,8 +113,7 @@ def allowlist_notes(spark, sf_dir):
     _, edges = _graph(spark, sf_dir)
     found = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("dep"), F.col("l_returnflag").alias("category"))
     allowances = table(spark, sf_dir, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").alias("dep"), F.lit("code_eval").alias("category"))
-    reached = graph.closure_by_doubling(allowances.select(F.col("dep").alias("node")), edges).select(F.col("root").alias("package"), F.col("node").alias("dep"))
-    return builtin.transitive_notes(reached, found, allowances).withColumn("categories", F.array_join("categories", ","))
+    return builtin.notes_along(edges, found, allowances).withColumn("categories", F.array_join("categories", ","))
 
 
 def version_history(spark, sf_dir):
