@@ -79,7 +79,8 @@ def call_findings(facts: DataFrame) -> DataFrame:
 def decode_then_eval(facts: DataFrame) -> DataFrame:
     """path, body of the definitions that both decode base 64 and evaluate a string."""
     has = lambda m, f: F.max(F.when((F.col("module") == m) & (F.col("func") == f), 1).otherwise(0)) == 1
-    both = facts.groupBy(*_keys(facts), "body").agg(has("Base", "decode64").alias("decodes"), has("Code", "eval_string").alias("evaluates"))
+    either = facts.where("module = 'Base' and func = 'decode64' or module = 'Code' and func = 'eval_string'")
+    both = either.groupBy(*_keys(facts), "body").agg(has("Base", "decode64").alias("decodes"), has("Code", "eval_string").alias("evaluates"))
     return both.where("decodes and evaluates").select(*_keys(facts), "body")
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: The columns of each kind of fact, in the order that its reader gives them.
 COLUMNS = {
@@ -19,22 +23,49 @@ FACT = (
 _ORDER = [c.split()[0] for c in FACT.split(", ")[1:]]
 
 
-@udtf(returnType=FACT)
-class FileFacts:
-    def eval(self, content: str):
-        # imported by the task: the readers of a session in use hold what can't be sent
-        from talus.sources.calls import CallFacts, Literals
-        from talus.sources.hooks import Hooks
+#: Rows of facts that are sent on at once.
+BATCH = 1 << 14
+
+
+def _batches(found: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    # imported by the task: the readers of a session in use hold what can't be sent
+    from talus.sources.calls import CallFacts, Literals, masked
+    from talus.sources.hooks import Hooks
+
+    call, literal, hook = CallFacts.func().eval, Literals.func().eval, Hooks.func().eval
+    places = {fact: [_ORDER.index(c) for c in columns] for fact, columns in COLUMNS.items()}
+    for batch in found:
+        held: list[list] = [[] for _ in range(len(_ORDER) + 2)]  # row of the batch, fact, its columns
+
+        def made() -> pa.RecordBatch:
+            rows = pa.array(held[0], pa.int32())
+            given = [pa.array(x, schema.field(i + 2).type) for i, x in enumerate(held[1:])]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(rows).cast(schema.field(0).type), batch.column(1).take(rows).cast(schema.field(1).type), *given], schema=schema)
 
-        for fact, reader in (("call", CallFacts), ("literal", Literals), ("hook", Hooks)):
-            for row in reader.func().eval(content) or ():
-                given = dict(zip(COLUMNS[fact], row))
-                yield (fact, *[given.get(c) for c in _ORDER])
+        for at, content in enumerate(batch.column(2).to_pylist()):
+            if not content:
+                continue
+            plain = masked(content)
+            for fact, rows in (("call", call(content, plain)), ("literal", literal(content)), ("hook", hook(content, plain))):
+                for row in rows:
+                    whole = [None] * len(_ORDER)
+                    for i, value in zip(places[fact], row):
+                        whole[i] = value
+                    for column, value in zip(held, (at, fact, *whole)):
+                        column.append(value)
+            if len(held[0]) >= BATCH:
+                yield made()
+                held = [[] for _ in held]
+        if held[0]:
+            yield made()
 
 
 def file_facts(sources: DataFrame) -> DataFrame:
     """dep, path, fact and the columns of each fact of (dep, path, content) rows."""
-    return sources.select("dep", "path", "content").lateralJoin(FileFacts(F.col("content").outer())).drop("content")
+    rows = sources.select("dep", "path", F.col("content").cast("string").alias("content"))
+    schema = StructType(rows.schema.fields[:2] + StructType.fromDDL(FACT).fields)
+    arrow = to_arrow_schema(schema)
+    return rows.mapInArrow(lambda found: _batches(found, arrow), schema)
 
 
 def of_kind(facts: DataFrame, fact: str) -> DataFrame:
