@@ -1,14 +1,13 @@
 """Alignment of two tokenizers: groups between common token ends, and links of overlapping tokens.
 
-Both tokenizers see a space and the text. Only tokenising runs in Python. It goes by words: both tokenizers
-always begin a token at a space that follows another character and comes before one that isn't white, so what lies between
-two such places is tokenised, and aligned, by itself. A run of documents becomes one row of its distinct words, with
-their token ids and end bytes, and of its documents as numbers of words.
+Both tokenizers see a space and the text. Tokenising goes by words: both tokenizers always begin a token at a space that
+follows another character and comes before one that isn't white, so what lies between two such places is tokenised,
+and aligned, by itself, once for all its occurrences in a worker. Two tokens that overlap share one stretch between
+neighbouring ends, so each such stretch is one link; ends on both sides cut the tokens into groups.
 
-All else is Spark's higher-order functions over a word's arrays. The ends of both sides, sorted together, show how
-many of the other side's tokens end before each one, so every end names the tokens of A and B that it
-lies in: that is one link, as two overlapping tokens share one stretch between neighbouring ends. Ends on both
-sides (``array_intersect``) cut the tokens into groups. Counts of links are summed over all documents.
+A run of documents becomes one row: its distinct links and how often each occurs, its documents with their own numbers, and
+which links they hold (packed). Spark sums the links of all runs, finds each B id's highest count and joins both back to
+a run's distinct links, so no word or text is shuffled; the sums of a run's documents follow from its row.
 
 Tokenizer A is byte-level BPE by its JSON file, B a SentencePiece model. Special tokens in texts are plain text.
 
@@ -19,25 +18,27 @@ columns are kept in ``row``, whatever their names. A run holds about RUN_BYTES o
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talus.llm.buffers import row_texts
+from talus.llm.buffers import slices
 from talus.llm.line_dedup import small
 from talus.session import written
 
 BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes of text in a run, and words that a worker remembers at most.
-RUN_BYTES, MEMORY = 1 << 20, 1 << 18
+#: Bytes of text in a run; words that a worker remembers at most, and the characters of the longest of them.
+RUN_BYTES, MEMORY, LONGEST = 4 << 20, 1 << 18, 64
 
 
 def byte_of_character() -> dict[str, int]:
@@ -63,16 +64,16 @@ class ByteBpe:
             self.sizes[i] = len(piece)
         self.codec = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def ids(self, words: list[str]) -> list[np.ndarray]:
+    def ids(self, words: list[str]) -> list[list[int]]:
         """The ids of each word; byte-level tokens always join to a word's own bytes."""
         # words that start like those inside a text are encoded in one go and told apart by their bytes
         inner = [i for i, w in enumerate(words) if len(w) > 1 and not w[1].isspace() and not words[i - 1].endswith(" ")]
         alone = sorted(set(range(len(words))) - set(inner))
         out: list = [None] * len(words)
         for i in alone:
-            out[i] = np.array(self.codec.encode_ordinary(words[i]), np.int32)
-        ids = np.array(self.codec.encode_ordinary("".join([words[i] for i in inner])), np.int32)
-        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(words[i].encode()) for i in inner]))
+            out[i] = self.codec.encode_ordinary(words[i])
+        ids = self.codec.encode_ordinary("".join([words[i] for i in inner]))
+        cuts = np.searchsorted(np.cumsum(self.sizes[np.array(ids, np.int32)]), np.cumsum([len(words[i].encode()) for i in inner]))
         begin = 0
         for i, at in zip(inner, (cuts + 1).tolist()):
             out[i] = ids[begin:at]
@@ -89,15 +90,15 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bodies = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-        self.sizes = np.array([len(b) for b in self.bodies], np.int32)
+        self.sizes = [len(b) for b in self.bodies]
         self.sign = self.model.piece_to_id("▁")
 
-    def ids(self, words: list[str]) -> list[np.ndarray | None]:
+    def ids(self, words: list[str]) -> list[list[int] | None]:
         """The ids of each word (a space at its front); None if their bytes differ from it."""
         out = []
         for w, ids in zip(words, self.model.encode([w[1:] for w in words], num_threads=1)):
             ids = ids or [self.sign]
-            out.append(np.array(ids, np.int32) if b"".join([self.bodies[i] for i in ids]) == w.encode() else None)
+            out.append(ids if b"".join([self.bodies[i] for i in ids]) == w.encode() else None)
         return out
 
 
@@ -115,25 +116,51 @@ def words_of(text: str) -> list[str]:
     return out
 
 
+def word_alignment(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[int, str, bytes]:
+    """(number of groups, ``a1,a2|b1;a3|b2,b3``, links as a << 32 | b) of a word's ids of A and B, which cover the same bytes."""
+    links, groups = [], []
+    i = j = first_a = first_b = 0
+    a_end, b_end = a_sizes[a[0]], b_sizes[b[0]]
+    while True:
+        links.append(a[i] << 32 | b[j])
+        if a_end < b_end:
+            i += 1
+            a_end += a_sizes[a[i]]
+        elif b_end < a_end:
+            j += 1
+            b_end += b_sizes[b[j]]
+        else:
+            i, j = i + 1, j + 1
+            groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
+            if i == len(a):
+                return len(groups), ";".join(groups), np.array(links, np.int64).tobytes()
+            first_a, first_b = i, j
+            a_end, b_end = a_end + a_sizes[a[i]], b_end + b_sizes[b[j]]
+
+
 class Tokenizers:
-    """Both tokenizers over words, kept by a worker with the words it has met."""
+    """Both tokenizers over words, kept by a worker with the alignments of words it has met."""
 
     def __init__(self, byte_bpe: str, pieces: str):
         self.a, self.b = ByteBpe(byte_bpe), Pieces(pieces)
+        self.a_sizes = self.a.sizes.tolist()
         self.known: dict[str, tuple | None] = {}
 
-    def tokens(self, words: list[str]) -> list[tuple | None]:
-        """(ids of A, ids of B) of each word, None where B's bytes aren't the word's."""
+    def alignments(self, words: list[str]) -> list[tuple | None]:
+        """(ids of A, ids of B, groups: their numbers; groups as text, links) of each distinct word, None where B's bytes aren't the word's."""
         known = self.known
         new = [w for w in words if w not in known]
         if len(known) + len(new) > MEMORY:
             known.clear()
             new = words
         for w, a, b in zip(new, self.a.ids(new), self.b.ids(new)):
-            known[w] = None if b is None else (a, b)
+            known[w] = None if b is None else (len(a), len(b), *word_alignment(a, b, self.a_sizes, self.b.sizes))
         found = [known[w] for w in words]
         if len(known) > MEMORY:
             known.clear()
+        for w in new:
+            if len(w) > LONGEST:
+                known.pop(w, None)
         return found
 
 
@@ -142,152 +169,103 @@ def _loaded(byte_bpe: str, pieces: str) -> Tokenizers:
     return Tokenizers(byte_bpe, pieces)
 
 
-def _lists(parts: list[np.ndarray], sizes: np.ndarray) -> list[pa.Array]:
-    """(ids, end bytes) of words as list columns."""
-    offsets = np.cumsum([0, *map(len, parts)])
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    ends = np.concatenate([[0], np.cumsum(sizes[ids])])
-    ends = ends[1:] - np.repeat(ends[offsets[:-1]], np.diff(offsets))
-    return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (ids, ends)]
+def _packed(*columns: np.ndarray) -> bytes:
+    """Arrays of 32-bit numbers, compressed; their bytes lie by place, as the upper ones are mostly zero."""
+    planes = [np.array([len(c) for c in columns], np.int64).tobytes(), np.concatenate(columns).astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpacked(held: bytes, columns: int) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(held)
+    ends = np.cumsum(np.frombuffer(data, np.int64, columns))
+    flat = np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=8 * columns).reshape(4, -1).T).view(np.int32).ravel()
+    return np.split(flat, ends[:-1])
 
 
-_SIDES = ("a_ids", "a_ends", "b_ids", "b_ends")
+def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The sum of each of the stretches that ``values`` consist of; a stretch may be empty."""
+    sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return np.diff(sums[np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])])
 
 
-def tokenised(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """Runs of documents: ``run`` (its number), ``words`` (n, how often it occurs, and its a_ids, a_ends, b_ids and b_ends)
-    and ``docs`` (``row``, all columns of ``docs``, n_a and n_b, its tokens, and ``words``, its words' numbers in ``words``)."""
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+_NUMBERS = ("n_a", "n_b", "n_groups")
+
+
+def run_alignments(docs: DataFrame, digest: bool, keep: list[str], byte_bpe: str = BYTE_BPE, pieces: str = PIECES, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """Runs of documents: ``run`` (its number), ``links`` (its distinct ones, a << 32 | b), ``times`` (how often each occurs),
+    ``docs`` (``row``, n_a, n_b, n_groups and groups) and ``held`` (which links the documents' words hold, packed)."""
+    taken = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, part = _loaded(byte_bpe, pieces), TaskContext.get().partitionId() << 33
-        for seq, (row, texts) in enumerate(row_texts(batches, run_bytes)):
+        for seq, batch in enumerate(slices(batches, "text", run_bytes)):
             number: dict[str, int] = {}
-            of = [[number.setdefault(w, len(number)) for w in words_of(t)] if t else [] for t in texts]
-            tokens = both.tokens(list(number))
-            bad = {i for i, t in enumerate(tokens) if t is None}
+            of = [[number.setdefault(w, len(number)) for w in words_of(t)] if t else [] for t in batch.column("text").to_pylist()]
+            found = both.alignments(list(number))
+            bad = {i for i, x in enumerate(found) if x is None}
             if bad:
-                of = [[] if bad.intersection(found) else found for found in of]
-            offsets = np.cumsum([0, *map(len, of)])
-            flat = np.fromiter((i for found in of for i in found), np.int32, int(offsets[-1]))
-            n = np.bincount(flat, minlength=len(number))
-            used = np.flatnonzero(n)
-            flat = np.searchsorted(used, flat).astype(np.int32)
-            sides = [[tokens[i][side] for i in used.tolist()] for side in (0, 1)]
-            arrays = [pa.array(n[used], pa.int64()), *_lists(sides[0], both.a.sizes), *_lists(sides[1], both.b.sizes)]
-            sums = [np.concatenate([[0], np.cumsum(np.array([len(x) for x in side], np.int64)[flat])])[offsets] if len(used) else np.zeros(len(offsets), np.int64) for side in sides]
-            listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            every = pa.StructArray.from_arrays([row, *[pa.array(np.diff(x), pa.int64()) for x in sums], listed], ["row", "n_a", "n_b", "words"])
+                of = [[] if bad.intersection(d) else d for d in of]
+                found = [x or (0, 0, 0, "", b"") for x in found]
+            body = [x[3] for x in found]
+            text = [";".join([body[i] for i in d]) for d in of]
+            if digest:
+                text = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in text]
+            lengths = np.array([len(d) for d in of], np.int64)
+            flat = np.fromiter((i for d in of for i in d), np.int64, int(lengths.sum()))
+            numbers = [_sums(np.array([x[k] for x in found], np.int64)[flat], lengths) for k in range(3)]
+            links, at = np.unique(np.frombuffer(b"".join([x[4] for x in found]), np.int64), return_inverse=True)
+            n_links = np.array([len(x[4]) // 8 for x in found], np.int64)
+            # no sum of these weights is inexact, as they stay below 2**53
+            times = np.bincount(at, np.repeat(np.bincount(flat, minlength=len(found)), n_links), len(links)).astype(np.int64)
+            every = pa.StructArray.from_arrays([batch.column("row"), *[pa.array(x) for x in numbers], pa.array(text, pa.string())], ["row", *_NUMBERS, "groups"])
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            words = pa.StructArray.from_arrays(arrays, ["n", *_SIDES])
-            yield pa.RecordBatch.from_arrays([pa.array([part + seq], pa.int64()), one(words), one(every)], ["run", "words", "docs"])
-
-    ints = T.ArrayType(T.IntegerType(), False)
-    word = T.StructType([T.StructField("n", T.LongType()), *[T.StructField(c, ints) for c in _SIDES]])
-    doc = T.StructType([held.schema["row"], T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("words", ints)])
-    return held.mapInArrow(run, T.StructType([T.StructField("run", T.LongType()), T.StructField("words", T.ArrayType(word)), T.StructField("docs", T.ArrayType(doc))]))
-
-
-KIND = 1 << 31
-
-
-def link(a: Column, b: Column) -> Column:
-    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
-
-
-def _own(key: Column) -> Column:
-    return key.bitwiseAND(F.lit(KIND - 1)).cast("int")
-
-
-def _end(key: Column) -> Column:
-    return F.shiftright(key, 32).cast("int")
-
-
-def _of_a(key: Column) -> Column:
-    return key.bitwiseAND(F.lit(KIND)) == 0
-
-
-def end_keys(w: Column) -> Column:
-    """All ends of a word by byte, A's before B's; a token's own number stands in the lowest bits."""
-    key = lambda e, i: F.shiftleft(e.cast("long"), 32) + i
-    return F.sort_array(F.flatten(F.array(F.transform(w["a_ends"], key), F.transform(w["b_ends"], lambda e, j: key(e, j) + F.lit(KIND)))))
+            held = pa.array([_packed(lengths, flat, n_links, at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([part + seq], pa.int64()), one(pa.array(links)), one(pa.array(times)), one(every), held], ["run", "links", "times", "docs", "held"])
 
-
-def word_links(w: Column, keys: Column) -> Column:
-    """At each end the link of the tokens that it lies in; null where B ends with A, which has it already."""
-
-    def at_end(key: Column, place: Column) -> Column:
-        other = place.cast("int") - _own(key)  # how many tokens of the other side end before
-        if_b = F.when(~F.get(w["a_ends"], other - 1).eqNullSafe(_end(key)), link(F.get(w["a_ids"], other), F.get(w["b_ids"], _own(key))))
-        return F.when(_of_a(key), link(F.get(w["a_ids"], _own(key)), F.get(w["b_ids"], other))).otherwise(if_b)
-
-    return F.transform(keys, at_end)
-
-
-def word_cuts(w: Column, keys: Column) -> Column:
-    """At each end of both sides, A's and B's token that end there: a << 32 | b by their numbers."""
-
-    def both(key: Column, place: Column) -> Column:
-        other = place.cast("int") - _own(key)
-        return F.when(_of_a(key) & (F.get(w["b_ends"], other) == _end(key)), link(_own(key), other))
-
-    return F.filter(F.transform(keys, both), lambda cut: cut.isNotNull())
-
-
-def word_groups(x: Column) -> Column:
-    """``a1,a2|b1;a3|b2,b3``: the ids of A and B between two ends of both."""
-    joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    number = {"a": lambda cut: F.shiftright(cut, 32).cast("int"), "b": _own}
-
-    def side(name: str, k: Column) -> Column:
-        start = F.coalesce(number[name](F.get(x["cuts"], k - 2)) + 2, F.lit(1))
-        return joined(F.slice(x["w"][f"{name}_ids"], start, number[name](F.get(x["cuts"], k - 1)) + 2 - start))
-
-    several = F.array_join(F.transform(F.sequence(F.lit(1), x["n_groups"]), lambda k: F.concat_ws("|", side("a", k), side("b", k))), ";")
-    return F.when(x["n_groups"] == 1, F.concat_ws("|", joined(x["w"]["a_ids"]), joined(x["w"]["b_ids"]))).otherwise(several)
-
-
-def aligned_words(runs: DataFrame) -> DataFrame:
-    """``runs`` with words as structs of n, n_groups, groups (text) and links (a << 32 | b, or null, by end)."""
-    keyed = F.transform("words", lambda w: F.struct(w.alias("w"), end_keys(w).alias("keys")))
-    common = lambda w: F.size(F.array_intersect(w["a_ends"], w["b_ends"]))
-    cut = F.transform(keyed, lambda x: F.struct(x["w"].alias("w"), word_links(x["w"], x["keys"]).alias("links"), word_cuts(x["w"], x["keys"]).alias("cuts"), common(x["w"]).alias("n_groups")))
-    words = F.transform(cut, lambda x: F.struct(x["w"]["n"].alias("n"), x["n_groups"].cast("long").alias("n_groups"), word_groups(x).alias("groups"), x["links"].alias("links")))
-    return runs.withColumn("words", words)
-
-
-def _total(words: Column, of: str, field: str) -> Column:
-    # the field of one element, as taking a field of the whole array would go through all of it each time
-    return F.aggregate(words, F.lit(0).cast("long"), lambda s, i: s + F.get(F.col(of), i)[field])
+    longs, long, text = T.ArrayType(T.LongType(), False), T.LongType(), T.StringType()
+    doc = T.StructType([taken.schema["row"], *[T.StructField(c, long) for c in _NUMBERS], T.StructField("groups", text)])
+    return taken.mapInArrow(run, T.StructType([T.StructField("run", long), T.StructField("links", longs), T.StructField("times", longs), T.StructField("docs", T.ArrayType(doc)), T.StructField("held", T.BinaryType())]))
 
 
 def link_counts(runs: DataFrame) -> DataFrame:
-    """(link, count, best) of aligned ``runs``: how many links of all documents hold a pair of ids, and whether no pair of its B id has more."""
-    each = runs.select(F.explode(F.arrays_zip("n", "links")).alias("x"))
-    each = each.select("x.n", F.explode("x.links").alias("link")).where("link is not null")
-    counts = written(each.groupBy("link").agg(F.sum("n").alias("count")), "links")
-    b = F.col("link").bitwiseAND(F.lit(KIND - 1))
+    """(link, count, best) of ``runs``: how many links of all documents hold a pair of ids, and whether no pair of its B id has more."""
+    each = runs.select(F.explode(F.arrays_zip("links", "times")).alias("x")).select("x.*").where("times > 0")
+    counts = written(each.groupBy(F.col("links").alias("link")).agg(F.sum("times").alias("count")), "links")
+    b = F.col("link").bitwiseAND(F.lit((1 << 32) - 1))
     most = counts.groupBy(b.alias("b")).agg(F.max("count").alias("most"))
     joined = counts.join(small(most, F.lit(24)), b == F.col("b"))
-    return joined.select("link", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
-
-
-def aligned(docs: DataFrame, digest: bool = False, **paths) -> DataFrame:
-    """``row`` (all columns of ``docs``), n_a, n_b, n_groups, n_links, n_best (links whose count is the highest of their B id),
-    count_sum (the counts of its links) and groups (``a1,a2|b1;a3|b2,b3``; empty without tokens; with ``digest`` their SHA-256)."""
-    runs = aligned_words(tokenised(docs, **paths))
-
-    def laid(d: Column) -> Column:
-        text = F.array_join(F.transform(d["words"], lambda i: F.get("words", i)["groups"]), ";")
-        text = F.when(F.size(d["words"]) > 0, F.sha2(text.cast("binary"), 256)).otherwise("") if digest else text
-        return F.struct(d["row"].alias("row"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), _total(d["words"], "words", "n_groups").alias("n_groups"), text.alias("groups"), d["words"].alias("words"))
-
-    # one pass over the texts; the groups' text stays with its document and isn't shuffled with the words
-    runs = written(runs.select("run", F.col("words.n").alias("n"), F.col("words.links").alias("links"), F.transform("docs", laid).alias("docs")), "runs")
+    return joined.select("link", "count", (F.col("count") == F.col("most")).alias("best"))
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each run with n_best and count_sum, from the run's ``found`` (count and best by place among its links)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            lengths, flat, n_links, at = _unpacked(row.column("held")[0].as_py(), 4)
+            found = row.column("found").flatten()
+            # links without a place belong to no document that has tokens
+            sums = []
+            for name in ("best", "count"):
+                values = np.zeros(int(at.max()) + 1 if len(at) else 0, np.int64)
+                if len(found):
+                    values[found.field("place").to_numpy()] = found.field(name).to_numpy(zero_copy_only=False)
+                sums.append(_sums(_sums(values[at], n_links)[flat], lengths))
+            docs = row.column("docs").flatten()
+            yield pa.RecordBatch.from_arrays([*docs.flatten(), *map(pa.array, sums)], ["row", *_NUMBERS, "groups", "n_best", "count_sum"])
+
+
+def aligned(docs: DataFrame, digest: bool = False, keep: list[str] | None = None, **paths) -> DataFrame:
+    """``row`` (the columns ``keep`` of ``docs``, by default all), n_a, n_b, n_groups, n_links, n_best (links whose count is the highest of
+    their B id), count_sum (the counts of its links) and groups (``a1,a2|b1;a3|b2,b3``; empty without tokens; with ``digest`` their SHA-256)."""
+    # one pass over the texts; the groups' text stays with its document
+    runs = written(run_alignments(docs, digest, docs.columns if keep is None else keep, **paths), "runs")
     counts = link_counts(runs)
-    each = runs.select("run", F.posexplode("links").alias("word", "links")).select("run", "word", F.explode("links").alias("link")).where("link is not null")
-    by_word = each.join(small(counts, F.lit(32)), "link").groupBy("run", "word").agg(F.sum("best").alias("best"), F.sum("count").alias("count"))
-    by_run = by_word.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("word", "best", "count"))).alias("found"))
-    summed = lambda d: F.struct(*[d[c].alias(c) for c in ("row", "n_a", "n_b", "n_groups", "groups")], _total(d["words"], "found", "best").alias("n_best"), _total(d["words"], "found", "count").alias("count_sum"))
-    rows = runs.select("run", "docs").join(by_run, "run", "left").select(F.inline(F.transform("docs", summed)))
+    each = runs.select("run", F.posexplode("links").alias("place", "link")).join(small(counts, F.lit(32)), "link")
+    found = each.groupBy("run").agg(F.collect_list(F.struct("place", "count", "best")).alias("found"))
+    joined = runs.select("run", "docs", "held").join(found, "run", "left")
+    doc, long = runs.schema["docs"].dataType.elementType, T.LongType()
+    rows = joined.select("docs", "held", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found")).mapInArrow(
+        summed, T.StructType([*doc.fields, T.StructField("n_best", long), T.StructField("count_sum", long)])
+    )
     return rows.select("row", "n_a", "n_b", "n_groups", (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links"), "n_best", "count_sum", "groups")

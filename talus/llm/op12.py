@@ -7,7 +7,7 @@ from talus.session import table
 
 
 def op12_token_alignment(spark, sf_dir):
-    rows = aligned(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    rows = aligned(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True, keep=["doc_id"])
     return rows.select(
         F.col("row.doc_id").cast("long").alias("doc_id"),
         *[F.col(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")],

@@ -93,3 +93,16 @@ def test_query_equals_brute_force_on_the_smallest_table(spark):
         r = rows[i]
         assert (r.n_a, r.n_b, r.n_groups, r.n_links) == want[:4]
         assert r.groups_sha256 == (hashlib.sha256(want[6].encode()).hexdigest() if want[0] else "")
+
+
+def test_runs_hold_each_link_once_and_only_the_kept_columns(spark):
+    from talus.llm.alignment import run_alignments
+
+    texts = ["the end of the word", "the the the", "zyxwvut 12345 zyxwvut", "x" * 500, None, "▁bad the"] * 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    runs = run_alignments(df, True, ["doc_id"]).collect()
+    tokens = brute(texts)
+    assert len(runs) == 1 and len(set(runs[0].links)) == len(runs[0].links)
+    assert sum(runs[0].times) == sum(x[3] for x in tokens) and runs[0].docs[0].row.asDict() == {"doc_id": 0}
+    got = {r.row.doc_id: tuple(r[c] for c in NUMBERS) for r in aligned(df, keep=["doc_id"]).collect()}
+    assert got == dict(enumerate(tokens))
