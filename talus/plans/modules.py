@@ -131,11 +131,13 @@ def _manifest_texts(spark, sf_dir) -> DataFrame:
     """A manifest for each order, its keys in one of three orders and spacings; some are cut off, some no object."""
     c = F.col
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("made"))
-    hashes = F.array_join(F.transform("made", lambda x: F.format_string('{"module": "M%d", "content_hash" :"%s"}', x["l_linenumber"], F.hex(x["l_partkey"]))), ", ")
-    signer = F.when(c("l_orderkey") % 4 == 0, "null").otherwise(F.format_string('"s%d"', c("l_orderkey") % 7))
+    number = lambda value: value.cast("string")
+    hashes = F.array_join(F.transform("made", lambda x: F.concat(F.lit('{"module": "M'), number(x["l_linenumber"]), F.lit('", "content_hash" :"'), F.hex(x["l_partkey"]), F.lit('"}'))), ", ")
+    signer = F.when(c("l_orderkey") % 4 == 0, "null").otherwise(F.concat(F.lit('"s'), number(c("l_orderkey") % 7), F.lit('"')))
+    items = items.withColumn("hashes", hashes)
     parts = [
-        F.format_string('"package":"p%d"', c("l_orderkey") % 100), F.format_string('"version" : "1.%d.0"', F.size("made")), F.concat(F.lit('"module_hashes": ['), hashes, F.lit("]")),
-        F.lit('"capabilities":["ssh", "dns"]'), F.concat(F.lit('"signer": '), signer), F.lit('"extra":{"z":[1,{"b":2,"a":1}],"a":true}'),
+        F.concat(F.lit('"package":"p'), number(c("l_orderkey") % 100), F.lit('"')), F.concat(F.lit('"version" : "1.'), number(F.size("made")), F.lit('.0"')),
+        F.concat(F.lit('"module_hashes": ['), c("hashes"), F.lit("]")), F.lit('"capabilities":["ssh", "dns"]'), F.concat(F.lit('"signer": '), signer), F.lit('"extra":{"z":[1,{"b":2,"a":1}],"a":true}'),
     ]
     joined = lambda order: F.concat(F.lit("{"), F.array_join(F.array(*[parts[i] for i in order]), ",\n "), F.lit("}"))
     text = F.when(c("l_orderkey") % 3 == 0, joined([0, 1, 2, 3, 4, 5])).when(c("l_orderkey") % 3 == 1, joined([5, 4, 3, 2, 1, 0])).otherwise(joined([3, 0, 5, 2, 4, 1]))
@@ -145,12 +147,14 @@ def _manifest_texts(spark, sf_dir) -> DataFrame:
 
 def manifest_documents(spark, sf_dir):
     """Digests of manifests in one spelling, what is read of them, and whether the written struct reads back equal."""
-    found = _manifest_texts(spark, sf_dir).withColumn("m", documents.manifest(F.col("text")))
-    again = documents.manifest(documents.written(F.col("m")))
-    sorted_m = F.col("m").withField("capabilities", F.array_sort("m.capabilities"))
+    c = F.col
+    found = documents.manifests(_manifest_texts(spark, sf_dir), "text", "m")
+    found = found.select("l_orderkey", F.sha2(F.to_json("m_doc"), 256).alias("digest"), "m").withColumn("document", documents.written(c("m")))
+    found = documents.manifests(found, "document", "again")
+    sorted_m = c("m").withField("capabilities", F.array_sort("m.capabilities"))
     return found.select(
-        "l_orderkey", documents.digest(F.col("text")).alias("digest"), F.col("m.package").alias("package"), F.col("m.version").alias("version"), F.col("m.signer").alias("signer"),
-        F.size("m.module_hashes").cast("long").alias("n_hashes"), documents.written(F.col("m")).alias("document"), (again == sorted_m).alias("reads_back"),
+        "l_orderkey", "digest", c("m.package").alias("package"), c("m.version").alias("version"), c("m.signer").alias("signer"),
+        F.size("m.module_hashes").cast("long").alias("n_hashes"), "document", (c("again") == sorted_m).alias("reads_back"),
     )
 
 

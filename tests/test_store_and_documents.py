@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import __spark_entry__
 from pathlib import Path
 
 import pytest
@@ -81,3 +82,14 @@ def test_manifests_read_back_and_bad_ones_are_null(spark):
     assert (m.package, m.capabilities, [tuple(h) for h in m.module_hashes]) == ("p", ["ssh", "dns"], [("M", "h")])
     assert text == '{"capabilities":["dns","ssh"],"module_hashes":[{"content_hash":"h","module":"M"}],"notes":"n","package":"p","signed_at":null,"signer":null,"version":"1"}'
     assert again.module_hashes == m.module_hashes and again.capabilities == ["dns", "ssh"] and got["bare"][0].module_hashes == []
+
+
+def test_manifests_parse_each_text_once_and_equal_the_expression(spark):
+    texts = [' \t\r\n{"package":"p","module_hashes":[{"module":"M","content_hash":"h"}],"capabilities":["b",1,"a"]}', '{"module_hashes":[{"module":"M"}]}', '{"package":', '"{"', "[{}]", "{}", "1", "null", "", None, "{} x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = documents.manifests(df, "t", "m").select("k", "m").collect()
+    assert sorted(got, key=lambda r: r.k) == sorted(df.select("k", documents.manifest(F.col("t")).alias("m")).collect(), key=lambda r: r.k)
+    kind = F.try_parse_json("t").isNotNull() & F.schema_of_variant(F.try_parse_json("t")).startswith("OBJECT")
+    assert {r.k for r in got if r.m} == {r.k for r in df.where(kind).collect()} - {1}
+    found = __spark_entry__.queries()["manifest_documents"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 2
