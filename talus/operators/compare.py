@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talus.session import spread, written
+
 
 def file_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """path, status (added, removed, modified, same) of two (path, content) trees."""
@@ -36,19 +38,23 @@ def mismatched(declared: DataFrame, local: DataFrame) -> DataFrame:
     return both.select("path", problem.alias("problem")).where("problem is not null")
 
 
-def capability_problems(declared: DataFrame, observed: DataFrame, valid: DataFrame, key: str) -> DataFrame:
+def capability_problems(declared: DataFrame, observed: DataFrame, valid: DataFrame, key: str, rows: int = 0) -> DataFrame:
     """key, capability, problem (undeclared_use, declared_unused, unknown) of (key, capability) rows.
 
     Keys that declare nothing have no problems; a declared capability outside ``valid`` is unknown,
-    used or not.
+    used or not. Where ``rows``, about how many rows both sides have, are many, more tasks share them.
     """
-    said = declared.select(key, "capability").distinct()
-    used = observed.join(said.select(key).distinct(), key, "left_semi").select(key, "capability").distinct()
-    both = said.withColumn("said", F.lit(1)).join(used.withColumn("used", F.lit(1)), [key, "capability"], "full_outer")
-    known = valid.select("capability").distinct().withColumn("known", F.lit(1))
+    no, yes = F.lit(False), F.lit(True)
+    marks = declared.select(key, "capability", yes.alias("said"), no.alias("used")).unionByName(observed.select(key, "capability", no.alias("said"), yes.alias("used")))
+    # one aggregate meets both sides of a pair, so no task holds, sorts or joins them
+    both = spread(marks, rows, key, "capability").groupBy(key, "capability").agg(F.bool_or("said").alias("said"), F.bool_or("used").alias("used"))
+    # one row a key: written, so that Spark sees whether they are few enough for a broadcast
+    owners = written(declared.select(F.col(key).alias("owner")).distinct().where("owner is not null"), "owners").withColumn("owns", yes)
+    known = valid.select(F.col("capability").alias("name")).distinct().withColumn("known", yes)
     problem = (
-        F.when(F.col("said").isNull(), "undeclared_use")
+        F.when(~F.col("said"), F.when(F.col("owns"), "undeclared_use"))
         .when(F.col("known").isNull(), "unknown")
-        .when(F.col("used").isNull(), "declared_unused")
+        .when(~F.col("used"), "declared_unused")
     )
-    return both.join(known, "capability", "left").select(key, "capability", problem.alias("problem")).where("problem is not null")
+    held = both.join(owners, F.col(key) == F.col("owner"), "left").join(known, F.col("capability") == F.col("name"), "left")
+    return held.select(key, "capability", problem.alias("problem")).where("problem is not null")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talus.functions import text
 from talus.operators import builtin, compare, graph, history, names
 from talus.operators.order import numbered
-from talus.session import table
+from talus.session import spread, table
 
 # Name and pattern of the link checks.
 LINK_PATTERNS = [("plain_http", "^http://"), ("example_net", r"\.example\.net/"), ("referrer", "[?&]ref="), ("raw_ip", r"^https?://[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")]
@@ -190,10 +190,13 @@ def capability_mismatch_whole(spark, sf_dir):
 
     Valid capabilities are the days on which anything was shipped.
     """
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("capability"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("capability"))
-    declared = items.select("l_suppkey", "l_orderkey").distinct().join(orders, "l_orderkey")
-    return compare.capability_problems(declared, items, items, "l_suppkey")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.to_date("l_shipdate").alias("capability"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("capability"))
+    rows = items.count()
+    declared = spread(items.select("l_suppkey", "l_orderkey"), rows, "l_orderkey").join(orders, "l_orderkey")
+    # days stay numbers until the end
+    found = compare.capability_problems(declared, items, items, "l_suppkey", 2 * rows)
+    return found.withColumn("capability", F.date_format("capability", "yyyy-MM-dd"))
 
 
 def shady_links(spark, sf_dir):

@@ -74,6 +74,19 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task of a dealt table gets, about.
+TASK_ROWS = 1 << 20
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of about so many rows, dealt by ``keys`` to as many tasks as these ask for, where the session's shuffles have fewer.
+
+    A task's sorts and hash tables then stay of one size however large the table is.
+    """
+    parts = -(-rows // TASK_ROWS)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _file_system(spark: SparkSession, path: str) -> tuple:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where

@@ -71,3 +71,15 @@ def test_many_hops_a_round_and_doubling(spark):
     assert {x.node: x.depth for x in depths(nodes, edges, direct, hops=3).collect()} == {i: reached.get(i, 1) for i in range(45)}
     want = {(i, j) for i in range(45) for j in walk([i]) if i != j}
     assert {tuple(x) for x in closure_by_doubling(nodes, edges).collect()} == want
+
+
+def test_capability_pairs_meet_in_one_aggregate_and_many_rows_get_more_tasks(spark, monkeypatch):
+    found = __spark_entry__.queries()["capability_mismatch_whole"](spark, DATA)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan and plan.count("Join LeftOuter") == 2
+    monkeypatch.setattr("talus.session.TASK_ROWS", 1000)
+    dealt = rows(spark, "capability_mismatch_whole")
+    assert dealt == oracle("capability_mismatch_whole", ["lineitem", "orders"])
+    plan = __spark_entry__.queries()["capability_mismatch_whole"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    items = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert f", {-(-2 * items // 1000)}" in plan
