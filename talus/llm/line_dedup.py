@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.session import written
+from talus.session import forget, written
 
 LEAST = 20
 #: Per-document tables of up to so many bytes are broadcast; larger ones are joined by a shuffle.
@@ -95,7 +95,8 @@ def _neighbours(lines: DataFrame) -> DataFrame:
     )
     formed = lines.select("a", "b", "first", F.inline(forms))
     shared = formed.select("a", "b", "key").distinct().groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1").select("key")
-    formed = formed.join(shared, "key", "left_semi")
+    # each part below reads this table, so that no plan holds the forms several times
+    formed = written(formed.join(shared, "key", "left_semi"), "forms", "lz4")
     rest, size = F.col("rest"), F.char_length("rest")
     variants = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(i.alias("place"), F.concat(F.substr(rest, F.lit(1), i - 1), F.substr(rest, i + 1)).alias("variant")))
     whole = formed.where("kind = 'own'").select("a", "b", "first", F.xxhash64("key", "rest").alias("hash"))
@@ -104,11 +105,12 @@ def _neighbours(lines: DataFrame) -> DataFrame:
     longer = deleted.where("kind = 'less'").select("a", "b", "first", F.xxhash64("key", "variant").alias("hash")).distinct()
     earliest = F.min(F.struct("first", "a", "b")).alias("lead")
     lead = same_place.groupBy("hash").agg(earliest, F.count("*").alias("holders")).where("holders > 1").select("hash", "lead")
-    pairs = same_place.join(lead, "hash").select("a", "b", "first", "lead")
     of_whole = whole.select("hash", F.struct("first", "a", "b").alias("lead"))
-    pairs = pairs.union(longer.join(of_whole, "hash").select("a", "b", "first", "lead"))
-    pairs = pairs.union(whole.join(longer.groupBy("hash").agg(earliest), "hash").select("a", "b", "first", "lead"))
-    pairs = pairs.where("lead.first < first").select("a", "b", F.col("lead.a").alias("la"), F.col("lead.b").alias("lb")).distinct()
+    other_length = longer.join(of_whole, "hash").select("a", "b", "first", "lead")
+    other_length = other_length.union(whole.join(longer.groupBy("hash").agg(earliest), "hash").select("a", "b", "first", "lead"))
+    later = [x.where("lead.first < first").select("a", "b", F.col("lead.a").alias("la"), F.col("lead.b").alias("lb")) for x in (same_place.join(lead, "hash"), other_length)]
+    pairs = written(later[0], "pairs").union(written(later[1], "pairs")).distinct()
+    forget(lines.sparkSession, formed)
     texts = lines.select("a", "b", "line")
     other = lines.select(F.col("a").alias("la"), F.col("b").alias("lb"), F.col("line").alias("earlier"))
     near = F.levenshtein("line", "earlier", 1)
@@ -129,7 +131,7 @@ def removed_lines(docs: DataFrame, least: int = LEAST, exact: int | None = None)
     rows = F.split("text", "\n")
     texts = found.select(F.inline(F.transform("wanted", lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), w["first"].alias("first"), F.get(rows, w["at"]).alias("line")))))
     texts = written(texts.dropDuplicates(["a", "b"]), "texts", "lz4")
-    near = _neighbours(texts).withColumn("near", F.lit(True))
+    near = written(_neighbours(texts), "near").withColumn("near", F.lit(True))
     verdicts = kept.join(near, ["a", "b"], "left").where("near or first <> last").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
     verdicts = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     salted = lines.select("doc", "text_key", "at", "a", "b", F.pmod(F.xxhash64("doc", "text_key"), F.lit(_SALTS)).cast("int").alias("salt"))
