@@ -30,7 +30,7 @@ from pyspark.sql.functions import pandas_udf
 
 from talus.llm.buffers import U64, mix, shingle_sets, slices
 from talus.llm.components import fewer, merged
-from talus.session import cut, written
+from talus.session import cut, in_python, written
 
 BANDS, ROWS, BATCH = 40, 6, 20
 HASHES = BANDS * ROWS
@@ -142,7 +142,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, miss: float =
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = written(
-        docs.mapInArrow(_sketch(size), "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"), "sketch"
+        in_python(docs, _sketch(size), "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"), "sketch"
     )
     classes = written(
         sketch.where("set_key is not null and doc_id is not null")
@@ -238,7 +238,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame, size: int)
     """rep, items: the whole set of each class in ``reps``."""
     heads = classes.join(reps, "rep").select("set_key", "rep")
     texts = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(size), "rep long, set_key binary, items array<long>").join(heads, ["rep", "set_key"], "left_semi")
+    sets = in_python(texts, _sets(size), "rep long, set_key binary, items array<long>").join(heads, ["rep", "set_key"], "left_semi")
     return written(sets.dropDuplicates(["rep", "set_key"]).select("rep", "items"), "sets", "lz4")
 
 

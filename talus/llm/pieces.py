@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from talus.llm.buffers import BASE, BASE_INVERSE, U64, mix, powers, row_texts
 from talus.llm.language import Table
+from talus.session import in_python
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SIGN = 0x2581
@@ -289,4 +290,4 @@ def encoded(docs: DataFrame, path: str = MODEL, mode: str = "viterbi") -> DataFr
             yield pa.RecordBatch.from_arrays([row, lists, back], ["row", "piece_ids", "decoded"])
 
     made = T.StructType().add("piece_ids", T.ArrayType(T.IntegerType())).add("decoded", T.BinaryType())
-    return held.mapInArrow(run, T.StructType([held.schema["row"], *made.fields]))
+    return in_python(held, run, T.StructType([held.schema["row"], *made.fields]))

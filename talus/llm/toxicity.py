@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talus.llm.buffers import mix, row_texts
-from talus.session import written
+from talus.session import in_python, written
 
 DECAY, MARK_DECAY = 0.6, 0.92
 COST = 0.2
@@ -494,7 +494,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for row, texts in row_texts(batches, 1 << 20):
             yield pa.RecordBatch.from_arrays([row, pa.array(model.score(texts))], ["row", "score"])
 
-    return held.mapInArrow(run, T.StructType([held.schema["row"], T.StructField("score", T.DoubleType())]))
+    return in_python(held, run, T.StructType([held.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = 2000, most_chars: int = 8 << 20, **options) -> Model:
