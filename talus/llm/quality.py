@@ -90,11 +90,15 @@ class Net:
         return np.maximum(best + self.filter_bias, 0), place
 
     def sums(self, chunks: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The last sums of texts whose chunks begin at ``starts``."""
-        units = np.maximum(self.pooled(chunks)[0] @ self.units + self.unit_bias, 0)
+        """The last sums of texts whose chunks begin at ``starts``.
+
+        A product's last bits depend on a row's place in the matrix, so equal chunks are worked out once.
+        """
+        _, first, kind = np.unique(np.ascontiguousarray(chunks).view(f"V{chunks.itemsize * CHUNK}").ravel(), return_index=True, return_inverse=True)
+        units = np.maximum(self.pooled(chunks[first])[0] @ self.units + self.unit_bias, 0)[kind]
         count = np.diff(starts, append=len(chunks))[:, None]
         doc = np.concatenate([np.add.reduceat(units.astype(np.float64), starts) / count, np.maximum.reduceat(units, starts)], axis=1)
-        return doc @ self.out.astype(np.float64) + float(self.out_bias[0])
+        return (doc * self.out.astype(np.float64)).sum(axis=1) + float(self.out_bias[0])
 
     def score(self, chunks: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.sums(chunks, starts) + self.shift, -30, 30)))

@@ -89,3 +89,11 @@ def test_query_without_usable_labels(spark, tmp_path):
     spark.createDataFrame([(None, 1), (1, None)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     rows = op11_byte_convolution(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.held_out, r.score, r.predicted) for r in rows) == [(i, zlib.crc32(str(i).encode()) % 5 == 0, 0.5, 1) for i in (1, 2)]
+
+
+def test_equal_texts_of_one_batch_score_equally_at_any_place():
+    net, r = Net.new(np.random.default_rng(5)), np.random.default_rng(6)
+    for n in (1, 2, 3, 30, 200):
+        others = ["".join(map(chr, r.integers(32, 127, r.integers(0, 1500)))) for _ in range(n)]
+        score = net.score(*parts("one two three" * 50, *others, "one two three" * 50))
+        assert score[0] == score[-1]
